@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Fixed list: the module of each operator, by its number.
-MODULES = ["html_extract", "line_dedup", "token_shards", "toxicity", "near_dedup", "url_filters"]
+MODULES = ["html_extract", "decontaminate", "line_dedup", "token_shards", "toxicity", "near_dedup", "url_filters"]
 
 
 def load() -> tuple[dict, dict]:
