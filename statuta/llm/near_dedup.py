@@ -8,9 +8,11 @@ all bands with probability 5e-6.
 Documents with equal shingle sets become one class first.  Classes that share a
 band are not paired off: each is compared with a pivot of the band, then those
 that are still apart with three more, then only members of different components
-whose distances to the pivots leave room for a link.  (The Jaccard distance is a
-metric: where |d(x, p) - d(y, p)| > 0.25 no link is possible.)  Every comparison
-intersects the full shingle sets.  A band with a third of all classes is
+for which two exact bounds leave room for a link: the Jaccard distance is a
+metric, so |d(x, p) - d(y, p)| > 0.25 rules one out, and sets have no more in
+common than the lesser counts of their shared shingles, part by part.  Sets too
+few of whose shingles occur anywhere else have no link and go before all that.
+Every comparison intersects the full shingle sets.  A band with a third of all classes is
 combined before each shuffle and split by adaptive skew joins after it.
 
 Defined cases: null or empty texts and those without words have an empty set and
@@ -29,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, table
+from .common import Scratch, fresh, mix64, table
 from .components import connected_components
 
 WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|.
 PERCENT = 75
-PIVOTS = 3
+PIVOTS, PARTS = 3, 64
 
 
 def shingle_hashes(data: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -139,44 +141,82 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
 
 
-def _similar_size(x: Column, y: Column) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+def _room(x: str, y: str) -> Column:
+    """Whether sets with n shingles, u of them in any other set, can be similar enough: the least of both u is all they can share."""
+    return F.least(f"{x}.u", f"{y}.u") * (100 + PERCENT) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * PERCENT
 
 
 def _linked() -> Column:
     return F.col("both") * 100 >= F.col("either") * PERCENT
 
 
-def _with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _owned_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, s): shingles that no other set has.  Only the least and the greatest owner of a shingle are kept, so none gathers all of them."""
+    each = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    return each.where("rep = last").select("rep", "s")
+
+
+def _shared_counts(sets: DataFrame, owned: DataFrame) -> DataFrame:
+    """(rep, parts) per set: how many of the shingles that it shares with any other set fall into each of PARTS parts by hash.
+
+    Two sets have at most the sum of the lesser counts in common, part by part.
+    """
+    lists = sets.join(owned.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("s").alias("own")), "doc_id", "left").select("doc_id", "shingles", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in (big.slice(k, 1000) for k in range(0, big.num_rows, 1000)):
+                parts = []
+                for shingles, own in zip(batch.column(1), batch.column(2), strict=True):
+                    every = shingles.values.to_numpy(zero_copy_only=False)
+                    count = np.bincount(every % PARTS, minlength=PARTS)
+                    if own.is_valid:
+                        count -= np.bincount(own.values.to_numpy(zero_copy_only=False) % PARTS, minlength=PARTS)
+                    parts.append(np.maximum(count, 0).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int32()))], ["rep", "parts"])
+
+    return lists.mapInArrow(run, "rep long, parts array<int>")
+
+
+def _still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of bands that still hold several components, each with its component c."""
     named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     apart = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     return named.join(apart, "key")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked_classes(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``classes`` (rep, n, bands) of distinct sets -> (node, component) of those with links."""
     spread = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").drop("size")
-    members = scratch.put(spread.join(shared, "key"))
-    sizes = members.select("rep", "n").distinct()
-    sets = scratch.put(_rows(texts.join(sizes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), sets=True))
+    members = scratch.put(spread.join(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "rep", "n"))
+    shown = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.put(_rows(texts.join(shown, "doc_id", "left_semi"), sets=True))
+    # A set that shares too few shingles with all others together has no link: most chance neighbours and far-off copies go here.
+    owned = scratch.put(_owned_shingles(sets))
+    alone = owned.groupBy("rep").agg(F.count("*").alias("alone"))
+    shared = members.join(alone, "rep", "left").select("key", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"))
+    members = scratch.put(shared.where(F.col("u") * 100 >= F.col("n") * PERCENT).select("key", F.struct("rep", "n", "u").alias("m"), "rep"))
 
     # One pivot a band.
-    first = members.join(sizes.select(F.col("rep").alias("pivot"), F.col("n").alias("np")), "pivot").where("rep <> pivot")
-    known = scratch.put(_compare(first.where(_similar_size(F.col("n"), F.col("np"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets))
+    pivots = members.groupBy("key").agg(F.min("m").alias("p"))
+    first = members.join(pivots, "key").where((F.col("rep") != F.col("p.rep")) & _room("m", "p"))
+    known = scratch.put(_compare(first.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), sets))
     links = known.where(_linked()).select("a", "b")
     labels = connected_components(links, scratch)
 
     # Three more, where a band holds more than one component.
-    apart = scratch.put(_with_labels(members.select("rep", "n", "key"), labels))
-    order = [F.xxhash64("rep", F.lit(k)) for k in range(PIVOTS)]
-    pivots = apart.groupBy("key").agg(*(F.min(F.struct(order[k], "rep", "n", "c")).alias(f"p{k}") for k in range(PIVOTS)))
+    apart = scratch.put(_still_apart(members, labels))
+    pivots = apart.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), "m", "c")).alias(f"p{k}") for k in range(PIVOTS)))
     by_pivot = apart.join(pivots, "key")
-    tried = [by_pivot.where((F.col(f"p{k}.c") != F.col("c")) & _similar_size(F.col("n"), F.col(f"p{k}.n"))).select(F.col(f"p{k}.rep").alias("a"), F.col("rep").alias("b")) for k in range(PIVOTS)]
-    pairs = tried[0].unionByName(tried[1]).unionByName(tried[2]).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    done = known.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    more = scratch.put(_compare(pairs.join(done, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")), sets))
+    tried = [
+        by_pivot.where((F.col(f"p{k}.c") != F.col("c")) & _room("m", f"p{k}.m")).select(F.col(f"p{k}.m.rep").alias("a"), F.col("rep").alias("b")) for k in range(PIVOTS)
+    ]
+    pairs = _ordered(tried[0].unionByName(tried[1]).unionByName(tried[2]))
+    more = scratch.put(_compare(pairs.join(_ordered(known), ["a", "b"], "left_anti"), sets))
     links = links.unionByName(more.where(_linked()).select("a", "b"))
     labels = connected_components(links, scratch)
 
@@ -184,18 +224,21 @@ def linked_classes(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> Da
     every = known.unionByName(more)
     far = every.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
     far = scratch.put(far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct())
-    rest = _with_labels(apart.drop("c"), labels).join(pivots.select("key", *(F.col(f"p{k}.rep").alias(f"q{k}") for k in range(PIVOTS))), "key")
+    rest = _still_apart(apart.drop("c"), labels).join(pivots.select("key", *(F.col(f"p{k}.m.rep").alias(f"q{k}") for k in range(PIVOTS))), "key")
     for k in range(PIVOTS):
         to_pivot = far.select(F.col("a").alias("rep"), F.col("b").alias(f"q{k}"), F.col("d").alias(f"d{k}"))
         rest = rest.join(to_pivot, ["rep", f"q{k}"], "left").withColumn(f"d{k}", F.when(F.col("rep") == F.col(f"q{k}"), 0.0).otherwise(F.col(f"d{k}")))
-    rest = scratch.put(rest.select("key", "rep", "n", "c", *(f"d{k}" for k in range(PIVOTS))))
+    rest = rest.select("key", "rep", "m", "c", *(f"d{k}" for k in range(PIVOTS)))
+    parts = _shared_counts(sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), owned)
+    rest = scratch.put(rest.join(parts, "rep"))
     x, y = rest.alias("x"), rest.alias("y")
-    room = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _similar_size(F.col("x.n"), F.col("y.n"))
+    room = (F.col("x.m.rep") < F.col("y.m.rep")) & (F.col("x.c") != F.col("y.c")) & _room("x.m", "y.m")
     for k in range(PIVOTS):
         room &= F.coalesce(F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & room).select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).distinct()
-    done = every.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    last = scratch.put(_compare(pairs.join(done, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")), sets))
+    common = F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    room &= common * (100 + PERCENT) >= (F.col("x.m.n") + F.col("y.m.n")) * PERCENT
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & room).select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct()
+    last = scratch.put(_compare(pairs.join(_ordered(every), ["a", "b"], "left_anti"), sets))
     return connected_components(links.unionByName(last.where(_linked()).select("a", "b")), scratch)
 
 
@@ -214,6 +257,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of each group of linked documents, with its columns; rows without a doc_id or without words stay."""
+    found = scratch.put(near_duplicates(docs, scratch))
+    name = fresh("gone", docs.columns)
+    gone = scratch.keep(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
+    out = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    # Repeated rows of one document are copies too; those of texts without words are linked with nothing.
+    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark, "near") as scratch:
         return scratch.keep(near_duplicates(table(spark, sf_dir, "documents"), scratch))
