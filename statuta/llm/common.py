@@ -76,6 +76,13 @@ class Scratch:
             delete_path(self.spark, f.rpartition("/")[0])
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that none of ``taken`` equals, whatever the case of letters."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether a table has at most ``limit`` rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, table
+from .common import ASCII_SPACE, Scratch, fresh, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = ASCII_SPACE.encode()
@@ -105,14 +105,17 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id
 
 
 def _cut(docs: DataFrame, drops: DataFrame, text: str, doc_id: str, min_chars: int, whole: bool) -> DataFrame:
-    """Each row with its line counts and bitmap; with the kept text in place of ``text``, or else its digest."""
+    """Each row with the kept text in place of ``text``, or else with its line counts, bitmap and digest in place of it."""
     names = docs.columns
-    joined = docs.join(drops, docs[doc_id].eqNullSafe(drops["id"]), "left").select(*(docs[c] for c in names), drops["drop"].alias("drop__"))
+    own, lost = fresh("id", names), fresh("drop", names)
+    drops = drops.select(F.col("id").alias(own), F.col("drop").alias(lost))
+    joined = docs.join(drops, F.col(doc_id).eqNullSafe(F.col(own)), "left").select(*names, lost)
     at = names.index(text)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     if not whole:
         names, kinds = [n for n in names if n != text], [k for n, k in zip(names, kinds, strict=True) if n != text]
-    kinds += ["n_lines long", "n_dropped long", "keep_bitmap binary"] + ([] if whole else ["kept_sha256 string"])
+    more_names = [] if whole else ["n_lines", "n_dropped", "keep_bitmap", "kept_sha256"]
+    kinds += [] if whole else ["n_lines long", "n_dropped long", "keep_bitmap binary", "kept_sha256 string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -131,9 +134,8 @@ def _cut(docs: DataFrame, drops: DataFrame, text: str, doc_id: str, min_chars: i
                     bitmaps.append(pack_bitmap(keep))
                     texts.append(data.decode("utf-8", "replace")) if whole else digests.append(hashlib.sha256(data).hexdigest())
                 columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1]) if whole or k != at]
-                more = [pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(bitmaps, pa.binary())]
-                more += [] if whole else [pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *more], [*names, "n_lines", "n_dropped", "keep_bitmap", *([] if whole else ["kept_sha256"])])
+                more = [] if whole else [pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *more], [*names, *more_names])
 
     return joined.mapInArrow(run, ", ".join(kinds))
 
@@ -147,7 +149,7 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id:
 def drop_lines(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The same rows and columns, their texts without the repeated lines.  The list of lines to drop is kept in the shared folder."""
     drops = scratch.keep(repeated_lines(docs, scratch, text, doc_id, min_chars, min_docs))
-    return _cut(docs, drops, text, doc_id, min_chars, whole=True).select(*docs.columns)
+    return _cut(docs, drops, text, doc_id, min_chars, whole=True)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

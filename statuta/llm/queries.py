@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Fixed list: the module of each operator, by its number.
-MODULES = ["html_extract", "pieces", "decontaminate", "line_dedup", "token_shards", "toxicity", "near_dedup", "url_filters"]
+MODULES = ["html_extract", "pieces", "decontaminate", "line_dedup", "token_shards", "toxicity", "near_dedup", "personal_data", "url_filters", "image_copies"]
 
 
 def load() -> tuple[dict, dict]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 #: Labelled rows that the model is fitted on at most, and entries of the lexicon at most.
 SAMPLE, LEXICON = 20_000, 4_000
@@ -228,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
     return Model(lexicon, fit_trees(x, y), fit_isotonic(raw, y))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep``, then score; one row per document, without a shuffle."""
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep``, then the score as ``name``; one row per document, without a shuffle."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +237,16 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         for big in batches:
             for batch in (big.slice(k, 1000) for k in range(0, big.num_rows, 1000)):
                 x = np.array([features(v.as_py(), look) for v in batch.column(len(keep))]).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(x))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(x))], [*keep, name])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("text__")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, F.col(text).cast("string").alias(fresh("text", keep))).mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch, least: float = 0.5) -> DataFrame:
     """The rows whose score is below ``least``, with their columns."""
     model = fit(docs.select("doc_id", "text"), labels, scratch)
-    return score(docs, model, docs.columns).where(F.col("score") < least).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return score(docs, model, docs.columns, name=name).where(F.col(name) < least).drop(name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
