@@ -1 +1 @@
-
+"""Column expressions and schemas."""
