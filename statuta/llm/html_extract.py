@@ -172,7 +172,10 @@ def choose(blocks: list[tuple[str, int, int]], sigma: float = 1.0, share: float
         # An article is content as a whole; of several, those whose peak reaches the threshold.
         good = [r for r in np.unique(regions[regions > 0]) if level[regions == r].max() >= threshold]
         return [text for text, _, r in blocks if r in good] if good else [text for text, _, r in blocks if r]
-    high = np.flatnonzero(level >= threshold)
+    # Smoothing also lifts the lines next to a region; those of almost nothing but tags are no part of it.
+    high = np.flatnonzero((level >= threshold) & (ratio >= 0.1 * threshold))
+    if not len(high):
+        high = np.flatnonzero(level >= threshold)
     return [text for text, _, _ in blocks[high[0] : high[-1] + 1]]
 
 
