@@ -77,11 +77,11 @@ def find_base(text: str) -> list[Span]:
     return out
 
 
-#: Forms that a span of the method must have, and checks on them.
+#: Forms that a span of the method must have, and checks on them.  All have bounds, so no junk makes a search long.
 _OPEN, _SHUT = r"\s{0,2}[\[({<]?\s?", r"\s?[\])}>]?\s{0,2}"
 _AT, _DOT = rf"{_OPEN}(?:@|\bat\b|\bAT\b){_SHUT}", rf"{_OPEN}(?:\.|\bdot\b|\bDOT\b){_SHUT}"
 FORMS = {
-    "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?:com|org|net|edu|gov|io|info|de|fr|es|uk|example)\b"),
+    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,8}}{_DOT}(?:com|org|net|edu|gov|io|info|de|fr|es|uk|example)\b"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[({]?\s?(?:\.|dot)\s?[\])}]?\s?[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(])(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{2,4}\)[ ./-]?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"),

@@ -99,7 +99,7 @@ class Tagger:
             path[t - 1] = back[t][np.arange(n), path[t]]
         return path
 
-    def tag(self, texts: list[np.ndarray], core: int = 448, context: int = 32, most: int = 1 << 20) -> Iterator[list[tuple[int, int, int]]]:
+    def tag(self, texts: list[np.ndarray], core: int = 320, context: int = 32, most: int = 1 << 19) -> Iterator[list[tuple[int, int, int]]]:
         """Per text of classes the runs (tag, start, end) of tags other than 0.
 
         Each position belongs to the core of one window, and windows overlap by the context on both
@@ -119,8 +119,10 @@ class Tagger:
                     a, b = span[w]
                     x[row, : b - a] = texts[windows[w][0]][a:b]
                 em = self.emissions(np.ascontiguousarray(x.T))
-                lead = em[:, :, 0] - em[:, :, 1:].max(2)
-                doubtful = np.flatnonzero((lead < self.margin).any(0))
+                other = em[:, :, 1]
+                for tag in range(2, em.shape[2]):
+                    other = np.maximum(other, em[:, :, tag])
+                doubtful = np.flatnonzero((em[:, :, 0] - other).min(0) < self.margin)
                 if not len(doubtful):
                     continue
                 paths = self.best_paths(em[:, doubtful])
