@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import sys
 import tempfile
@@ -70,6 +71,11 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.put(df, "result")
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of queries that have ended; it does so once their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``put`` returned as soon as nothing reads it."""
         for f in df.inputFiles()[:1]:

@@ -10,8 +10,9 @@ there the fold runs over the same edges and applies, again and again, the best
 merge of two neighbours, leftmost first.
 
 Documents meet the result without a shuffle of texts: each task writes its
-documents as numbers of distinct units, joins the units' ids, and puts them
-together block by block.
+documents as numbers of distinct units.  The ids of at most ``COMMON`` units that
+most blocks share go to every task, those of the others are joined to the
+blocks, and each block's documents are put together from both.
 
 Defined cases: null or empty texts have no ids; characters without a piece
 become the pieces of their UTF-8 bytes; units of over ``LONG`` characters are
@@ -25,6 +26,7 @@ import heapq
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_enough, table
 
-#: The mark that stands for a space, characters of a unit for the fold, pieces of a model and characters of a block at most.
-SPACE, LONG, MODEL, BLOCK_CHARS = "▁", 58, 1_000_000, 24_000_000
+#: The mark that stands for a space; characters of a unit for the fold, pieces of a model, characters of a block, and units sent to every task, at most.
+SPACE, LONG, MODEL, BLOCK_CHARS, COMMON = "▁", 58, 1_000_000, 12_000_000, 200_000
+#: Marks that often end a word; whether they part from it is still asked of the pieces.
+MARKS = ".,;:!?#$%&*"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -63,11 +67,15 @@ class Cutter:
         self.joints = joints
 
     def words(self, text: str) -> list[str]:
+        """Parts that begin with a space or are the first; all but those of texts with runs of spaces go without their mark."""
         if "  " in text or SPACE in text or text[0] == " ":
             return RUNS.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
+        return text.split(" ")
 
     def units(self, word: str) -> list[str]:
+        return self.cut(word if word[:1] == SPACE else SPACE + word)
+
+    def cut(self, word: str) -> list[str]:
         at = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joints]
         return [word[i:j] for i, j in pairwise([0, *at, len(word)])] if at else [word]
 
@@ -77,10 +85,10 @@ def joints_of(pieces: list[tuple[str, float, int]]) -> set[str]:
 
 
 def dictionary_blocks(docs: DataFrame, folder: str, joints: set[str], chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, units): the distinct units of each block of documents, whose texts go to a file of unit numbers.
+    """(block, n_units): blocks of documents, each written to a file of its distinct units and of its texts in unit numbers.
 
     The file of block b is ``folder``/b: the documents' ids and their numbers of units, then the units'
-    places in the list, compressed.
+    places in the list and the list itself, compressed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,81 +97,119 @@ def dictionary_blocks(docs: DataFrame, folder: str, joints: set[str], chars: int
         cut, fs, place = Cutter(joints), *pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(place, recursive=True)
         units: dict[str, int] = {}
-        words: dict[str, list[int]] = {}
+        words: dict[str, int] = {}
+        cores: dict[str, list[int]] = {}
+        flat, starts = array("i"), array("q", [0])
         ids: list[int | None] = []
         sizes: list[int] = []
         parts: list[np.ndarray] = []
         held = 0
 
+        def learn(word: str) -> None:
+            words[word] = len(starts) - 1
+            flat.extend([units.setdefault(u, len(units)) for u in cut.units(word)])
+            starts.append(len(flat))
+
         def flush() -> pa.RecordBatch:
-            name = uuid.uuid4().hex
+            name = uuid.uuid4().int >> 65
             data = np.concatenate([*parts, np.zeros(0, np.int32)])
             columns = [data.view(np.uint8).reshape(-1, 4)[:, k].tobytes() for k in range(3)]  # like bytes side by side compress better
             head = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            packed = [sink.getvalue().to_pybytes(), *(zstandard.ZstdCompressor(level=3).compress(c) for c in columns)]
+            names = pa.RecordBatch.from_pydict({"unit": pa.array(list(units), pa.string())})
+            listed = pa.BufferOutputStream()
+            with pa.ipc.new_stream(listed, names.schema) as out:
+                out.write_batch(names)
+            packed = [sink.getvalue().to_pybytes(), *(zstandard.ZstdCompressor(level=3).compress(c) for c in [*columns, listed.getvalue().to_pybytes()])]
             with fs.open_output_stream(f"{place}/{name}") as f:
                 f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed))
-            return pa.RecordBatch.from_pydict({"block": [name], "units": [list(units)]})
+            return pa.RecordBatch.from_pydict({"block": [name], "n_units": [len(units)]})
 
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 part = batch.slice(k, 100)
                 for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found: list[int] = []
-                    for w in cut.words(text) if text else ():
-                        if (at := words.get(w)) is None:
-                            at = [units.setdefault(u, len(units)) for u in cut.units(w)]
-                            if len(w) < 64:
-                                words[w] = at
-                        found += at
+                    split = cut.words(text) if text else []
+                    for w in set(split):
+                        if w not in words:
+                            learn(w)
+                    at = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
+                    found = ragged(np.frombuffer(flat, np.int32), np.frombuffer(starts, np.int64), at) if split else np.zeros(0, np.int32)
                     ids.append(own)
                     sizes.append(len(found))
-                    parts.append(np.array(found, np.int32))
+                    parts.append(found)
                     held += len(text or "")
                     if held >= chars or len(units) > 2_000_000:
                         yield flush()
-                        units, words, ids, sizes, parts, held = {}, {}, [], [], [], 0
+                        units, words, cores, ids, sizes, parts, held = {}, {}, {}, [], [], [], 0
+                        flat, starts = array("i"), array("q", [0])
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, "block string, units array<string>")
+    return docs.mapInArrow(run, "block long, n_units long")
+
 
+def ragged(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists number ``at`` one after the other; list k is flat[starts[k]:starts[k + 1]]."""
+    first, size = starts[at], starts[at + 1] - starts[at]
+    shift = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) if len(at) else np.zeros(0, np.int64)
+    return flat[shift + np.arange(len(shift))]
 
-def read_block(uri: str) -> tuple[pa.RecordBatch, np.ndarray]:
+
+def read_block(uri: str) -> tuple[pa.RecordBatch, np.ndarray, pa.Array]:
+    """(doc_id, size), the units' places, and the units."""
     import zstandard
 
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     data = fs.open_input_file(path).read()
-    at = np.r_[32, 32 + np.cumsum(np.frombuffer(data, "<i8", 4))]
-    head = pa.ipc.open_stream(data[at[0] : at[1]]).read_all().combine_chunks().to_batches()
-    columns = [np.frombuffer(zstandard.ZstdDecompressor().decompress(data[i:j]), np.uint8) for i, j in pairwise(at[1:])]
-    number = columns[0].astype(np.int32) | columns[1].astype(np.int32) << 8 | columns[2].astype(np.int32) << 16
-    return (head[0] if head else pa.RecordBatch.from_pydict({"doc_id": pa.array([], pa.int64()), "size": pa.array([], pa.int64())})), number
+    at = np.r_[40, 40 + np.cumsum(np.frombuffer(data, "<i8", 5))].tolist()
+    head = pa.ipc.open_stream(data[at[0] : at[1]]).read_all().combine_chunks().to_batches()[0]
+    *columns, listed = (zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in pairwise(at[1:]))
+    number = np.frombuffer(columns[0], np.uint8).astype(np.int32)
+    for k in (1, 2):
+        number |= np.frombuffer(columns[k], np.uint8).astype(np.int32) << 8 * k
+    units = pa.ipc.open_stream(listed).read_all().combine_chunks().column(0).chunks
+    return head, number, units[0] if units else pa.array([], pa.string())
+
+
+def listed_units(blocks: DataFrame, folder: str, parts: int) -> DataFrame:
+    """(block, k, unit): the units of every block, from its file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                units = read_block(f"{folder}/{name}")[2]
+                for lo in range(0, len(units), 50_000):
+                    part = units.slice(lo, 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part], ["block", "k", "unit"])
+
+    return blocks.select("block").repartition(parts, "block").mapInArrow(run, "block long, k int, unit string")
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges) with edges sorted by falling score, then place.
+    """``units`` (unit, n) -> (unit, n, edges) with edges sorted by falling score, then place.
 
     An edge is a piece at place s (from 0) of length l; ``ends`` and ``inner`` have a bit for the places that
     bound it and those inside.  ``units`` should be partitioned by unit: then nothing is shuffled here.
     """
     if not small_enough(pieces, MODEL):
         raise ValueError(f"a model has at most {MODEL} pieces")
-    at = units.select("unit", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
-    spans = at.select("unit", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - s))")).alias("l"))
+    at = units.select("unit", "n", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
+    spans = at.select("unit", "n", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - s))")).alias("l"))
     spans = spans.withColumn("piece", F.expr("substring(unit, s + 1, l)"))
     edge = F.expr("struct(-score AS cost, s, l, shiftleft(1L, s) | shiftleft(1L, s + l) AS ends, shiftleft(shiftleft(1L, l) - 2L, s) AS inner, id)")
-    edges = spans.join(F.broadcast(pieces), "piece").groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return edges
+    # The first character stays even without a piece, so that no unit is lost.
+    met = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR (s = 0 AND l = 1)")
+    return met.groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
 
 
-#: Places that bound the segments, as bits, after all merges.
+#: Places that bound the segments, as bits, after all merges.  A merge whose ends are no longer places never comes back.
 MERGED = """
-aggregate(sequence(0, length(unit)), shiftleft(1L, length(unit) + 1) - 1L, (mask, k) ->
-  mask & ~coalesce(get(filter(merges, e -> (mask & e.ends) = e.ends AND bit_count(mask & e.inner) = 1), 0).inner, 0L))"""
+aggregate(sequence(2, length(unit)), struct(shiftleft(1L, length(unit) + 1) - 1L AS mask, merges AS left), (a, k) ->
+  element_at(transform(array(a.mask & ~coalesce(get(filter(a.left, e -> bit_count(a.mask & e.inner) = 1), 0).inner, 0L)), m ->
+    struct(m AS mask, if(m = a.mask, slice(a.left, 1, 0), filter(a.left, e -> (m & e.ends) = e.ends AND (m & e.inner) <> 0L)) AS left)), 1), a -> a.mask)"""
 #: The best path to every place: its cost, the place before and the piece; a character without a piece costs UNKNOWN and has piece -1.
 VITERBI = """
 aggregate(sequence(1, length(unit)), array(struct(0D AS cost, -1 AS s, -1 AS id)), (best, j) ->
@@ -174,13 +220,15 @@ aggregate(sequence(1, length(unit)), array(struct(0D AS cost, -1 AS s, -1 AS id)
 PATH = """
 aggregate(reverse(sequence(1, length(unit))), struct(shiftleft(1L, length(unit)) AS mask, length(unit) AS j), (a, k) ->
   if(k = a.j, struct(a.mask | shiftleft(1L, best[k].s) AS mask, best[k].s AS j), a), a -> a.mask)"""
+#: The edges that the segments are.
+CHOSEN = "sort_array(transform(filter(edges, e -> (mask & e.ends) = e.ends AND (mask & e.inner) = 0L), e -> struct(e.s AS s, e.id AS id)))"
 #: The ids of the segments; one without a piece is a character that becomes its bytes.
 IDS = """
-flatten(transform(filter(sequence(0, length(unit) - 1), i -> (shiftright(mask, i) & 1L) = 1L), i ->
-  CASE WHEN exists(edges, e -> e.s = i AND (mask & e.ends) = e.ends AND (mask & e.inner) = 0L)
-  THEN transform(slice(filter(edges, e -> e.s = i AND (mask & e.ends) = e.ends AND (mask & e.inner) = 0L), 1, 1), e -> e.id)
-  ELSE transform(sequence(1, octet_length(substring(unit, i + 1, 1))), k ->
-    {first} + cast(conv(substring(hex(encode(substring(unit, i + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int)) END))"""
+CASE WHEN size(chosen) = bit_count(mask) - 1 THEN chosen.id ELSE
+flatten(transform(filter(sequence(0, length(unit) - 1), i -> (shiftright(mask, i) & 1L) = 1L), i -> coalesce(
+  get(transform(filter(chosen, e -> e.s = i), e -> array(e.id)), 0),
+  transform(sequence(1, octet_length(substring(unit, i + 1, 1))), k ->
+    {first} + cast(conv(substring(hex(encode(substring(unit, i + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int))))) END"""
 
 
 def merge_long(unit: str, scores: dict[str, tuple[float, int]], first_byte: int) -> list[int]:
@@ -215,40 +263,60 @@ def merge_long(unit: str, scores: dict[str, tuple[float, int]], first_byte: int)
 
 
 def fold(edges: DataFrame, kind: str, first_byte: int, unknown: float = 20.0) -> DataFrame:
-    """(unit, edges) -> (unit, ids).  ``kind`` is "bpe" or "unigram"."""
+    """(unit, n, edges) -> (unit, n, ids).  ``kind`` is "bpe" or "unigram"."""
     if kind == "bpe":
-        masked = edges.withColumn("merges", F.expr("filter(edges, e -> e.l > 1)")).withColumn("mask", F.expr(MERGED))
+        masked = edges.withColumn("merges", F.expr("filter(edges, e -> e.l > 1)")).withColumn("mask", F.expr(f"if(size(merges) = 0, shiftleft(1L, length(unit) + 1) - 1L, {MERGED})"))
     elif kind == "unigram":
         masked = edges.withColumn("best", F.expr(VITERBI.format(unknown=unknown))).withColumn("mask", F.expr(PATH))
     else:
         raise ValueError(f"no such kind of model: {kind}")
-    return masked.select("unit", F.expr(IDS.format(first=first_byte)).alias("ids"))
+    return masked.withColumn("chosen", F.expr(CHOSEN)).select("unit", "n", F.expr(IDS.format(first=first_byte)).alias("ids"))
 
 
 def encode_units(units: DataFrame, pieces: list[tuple[str, float, int]], first_byte: int, kind: str = "bpe") -> DataFrame:
-    """``units`` (unit), distinct -> (unit, ids)."""
+    """``units`` (unit, n) with distinct units -> (unit, n, ids)."""
     spark = units.sparkSession
     model = spark.createDataFrame(pieces, "piece string, score double, id int")
     longest = max(len(p) for p, _, _ in pieces)
     short = units.where(F.length("unit") <= LONG)
-    edged = short.join(lattice(short, model, longest), "unit", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() AS array<struct<cost:double,s:int,l:int,ends:bigint,inner:bigint,id:int>>)")))
-    folded = fold(edged, kind, first_byte)
+    folded = fold(lattice(short, model, longest), kind, first_byte)
     if kind != "bpe":
         return folded
     scores = {p: (s, i) for p, s, i in pieces}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for u in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([merge_long(u, scores, first_byte)], pa.list_(pa.int32()))], ["unit", "ids"])
+            for k, u in enumerate(batch.column(0).to_pylist()):
+                ids = pa.array([merge_long(u, scores, first_byte)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, ids], ["unit", "n", "ids"])
 
-    return folded.unionByName(units.where(F.length("unit") > LONG).mapInArrow(run, "unit string, ids array<int>"))
+    return folded.unionByName(units.where(F.length("unit") > LONG).select("unit", "n").mapInArrow(run, "unit string, n long, ids array<int>"))
+
+
+def packed(coded: DataFrame, pieces: list[tuple[str, float, int]], first_byte: int, kind_of_ids: str) -> DataFrame:
+    """(unit, n, ids) with the ids as little-endian integers, and whether they decode to the unit."""
+    names = {i: p for p, _, i in pieces}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, same = batch.column(2).to_pylist(), []
+            for x, unit in zip(ids, batch.column(0).to_pylist(), strict=True):
+                try:
+                    same.append("".join([names[i] for i in x]) == unit)
+                except KeyError:  # some are bytes
+                    same.append(decode_bytes(x, names, first_byte).decode("utf-8", "replace") == unit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.array(x, kind_of_ids).tobytes() for x in ids], pa.binary()), pa.array(same, pa.bool_())], ["unit", "n", "ids", "same"])
+
+    return coded.mapInArrow(run, "unit string, n long, ids binary, same boolean")
+
+
+def decode_bytes(ids: list[int], pieces: dict[int, str], first_byte: int) -> bytes:
+    return b"".join(pieces[i].encode() if i in pieces else bytes([i - first_byte]) for i in ids)
 
 
 def decode(ids: list[int], pieces: dict[int, str], first_byte: int) -> str:
     """The text of ids; bytes that form no character become replacement characters."""
-    data = b"".join(pieces[i].encode() if i in pieces else bytes([i - first_byte]) for i in ids)
-    text = data.decode("utf-8", "replace").replace(SPACE, " ")
+    text = decode_bytes(ids, pieces, first_byte).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -262,33 +330,39 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str, kind: str = "
     folder = scratch.path()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks = scratch.put(dictionary_blocks(texts, folder, joints_of(pieces)))
-    each = blocks.select("block", F.posexplode("units").alias("k", "unit"))
     # A number of partitions that holds whatever the bytes: the fold's work goes by units, which are small.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = scratch.put(encode_units(each.select("unit").repartition(parts, "unit").distinct(), pieces, first_byte, kind))
-    told = each.join(coded, "unit").groupBy("block").agg(F.collect_list(F.struct("k", "ids", "unit")).alias("units"))
-    names = {i: p for p, _, i in pieces}
+    each = listed_units(blocks, folder, parts)
+    kind_of_ids = "<u2" if max(i for _, _, i in pieces) < 1 << 16 and first_byte + 255 < 1 << 16 else "<u4"
+    counted = each.select("unit").repartition(parts, "unit").groupBy("unit").agg(F.count("*").alias("n"))
+    coded = scratch.put(packed(encode_units(counted, pieces, first_byte, kind), pieces, first_byte, kind_of_ids))
+    scratch.sweep()
+    # The units of most blocks, a bounded number of short strings, go to every task; the rest are joined.
+    common = coded.where((F.col("n") > 1) & (F.length("unit") <= LONG)).orderBy(F.desc("n"), "unit").limit(COMMON).collect()
+    known = {r["unit"]: (bytes(r["ids"]), r["same"]) for r in common}
+    spread = docs.sparkSession.createDataFrame([(u,) for u in known], "unit string")
+    rare = each.join(F.broadcast(spread), "unit", "left_anti").join(coded.drop("n"), "unit").groupBy("block").agg(F.collect_list(F.struct("k", "ids", "same")).alias("units"))
+    told = blocks.select("block").join(rare, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                fields = units.values
-                k = fields.field("k").to_numpy(zero_copy_only=False)
-                lists = fields.field("ids")
-                order = np.argsort(k)
-                ids = lists.take(pa.array(order)).combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists.take(pa.array(order))
-                flat, starts = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
-                same = np.array([decode([-1, *x], names | {-1: SPACE}, first_byte) == u.replace(SPACE, " ") for x, u in zip(ids.to_pylist(), fields.field("unit").take(pa.array(order)).to_pylist(), strict=True)])
-                head, number = read_block(f"{folder}/{name}")
+                head, number, listed = read_block(f"{folder}/{name}")
+                found = [known.get(u) for u in listed.to_pylist()]
+                if units.is_valid:
+                    fields = units.values
+                    for k, x, ok in zip(*(fields.field(f).to_pylist() for f in ("k", "ids", "same")), strict=True):
+                        found[k] = x, ok
+                ids, same = [x for x, _ in found], np.array([ok for _, ok in found], bool)
+                flat = np.frombuffer(b"".join(ids), kind_of_ids).astype("<u4")
+                starts = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // np.dtype(kind_of_ids).itemsize].astype(np.int64)
                 size = head.column(1).to_numpy()
                 ends = np.cumsum(size)
                 for lo in range(0, len(size), 200):
                     rows = []
                     for d in range(lo, min(lo + 200, len(size))):
                         own = number[ends[d] - size[d] : ends[d]]
-                        first, n = starts[own], starts[own + 1] - starts[own]
-                        shift = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) if len(own) else np.zeros(0, np.int64)
-                        found = flat[shift + np.arange(len(shift))]
+                        found = ragged(flat, starts, own)
                         rows.append((len(found), zlib.crc32(found.tobytes()), bool(same[own].all()), found if with_ids else None))
                     columns = [head.column(0).slice(lo, len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])]
                     if with_ids:

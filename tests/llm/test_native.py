@@ -230,7 +230,7 @@ def test_viterbi(spark):
             paths.append(min(options or [(paths[j - 1][0] + 20, [*paths[j - 1][1], *(1000 + b for b in u[j - 1].encode())])]))
         return paths[-1][1]
 
-    df = spark.createDataFrame([(u,) for u in set(units)], "unit string").repartition(2, "unit")
+    df = spark.createDataFrame([(u, 1) for u in set(units)], "unit string, n long").repartition(2, "unit")
     got = {r["unit"]: r["ids"] for r in pieces.encode_units(df, table, 1000, "unigram").collect()}
     assert got == {u: best(u) for u in units}
 
