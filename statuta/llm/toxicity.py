@@ -68,7 +68,7 @@ class TokenTable:
     """Numbers per distinct token, looked up again and again: odds, strong, prefix hit, second person, obfuscated, hidden hit, kind."""
 
     WIDTH = 7
-    CACHED = 300_000
+    CACHED = 150_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
