@@ -7,9 +7,8 @@ descriptor meets all others that agree in any whole key (a Hamming table a key)
 and keeps those within ``BITS`` bits.  Matches vote for a rotation, scale and shift;
 images with at least ``INLIERS`` points that agree on one are copies.
 
-Images with equal pixels are one class, and equal descriptors of different
-images are one row of the tables, so exact copies and common marks are joined
-once.  There is no limit on candidates.
+Images with equal pixels are one class, so exact copies are joined once.  There
+is no limit on candidates.
 
 The tables at hand have no pictures.  The query draws each vector of
 ``embeddings`` as a sum of 64 plane waves, and searches edited copies of every
@@ -34,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_enough, table
 
 POINTS, BITS, INLIERS = 64, 56, 3
 SCALES = (1.0, 0.87, 0.75, 0.65)
 PATCH, EDGE = 11, 16
 KEYS = 8
+#: Keys of queries that are sent to every task at most; beyond, both sides are shuffled.
+WANTED = 300_000
 
 
 def read_image(data: bytes | None) -> np.ndarray | None:
@@ -236,23 +237,22 @@ def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: i
 
     match_id is the least id among images with those pixels, n_copies their number.
     """
-    stored, asked = scratch.put(describe(images)), scratch.put(describe(queries))
+    stored = scratch.put(describe(images))
+    asked = scratch.put(describe(queries).withColumn("q", F.monotonically_increasing_id()))
     classes = stored.groupBy("pixels").agg(F.min("image_id").alias("match_id"), F.countDistinct("image_id").alias("n_copies"))
-    spots = stored.groupBy("pixels", "code", "x", "y", "scale", "angle").agg(F.count("*").alias("n")).drop("n")
-    # Equal descriptors are one row of the tables.
-    known = stored.groupBy("code").agg(F.first("keys").alias("keys"))
-    wanted = asked.groupBy("code").agg(F.first("keys").alias("keys"))
-    table_of = lambda d, name: d.select(F.col("code").alias(name), F.posexplode("keys").alias("t", "key"))
+    # Images with equal pixels have one row a corner.
+    spots = stored.groupBy("pixels", "x", "y", "scale", "angle").agg(F.first("keys").alias("kb"))
+    known = spots.select("*", F.posexplode("kb").alias("t", "key"))
+    wanted = asked.select("q", F.col("keys").alias("ka"), F.posexplode("keys").alias("t", "key"))
+    if small_enough(wanted, WANTED):
+        wanted = F.broadcast(wanted)
     differ = sum((F.bit_count(F.col("ka")[k].bitwiseXOR(F.col("kb")[k])) for k in range(KEYS)), F.lit(0))
-    met = table_of(wanted, "qa").join(table_of(known, "cb"), ["t", "key"]).select("qa", "cb").distinct()
-    near = met.join(wanted.select(F.col("code").alias("qa"), F.col("keys").alias("ka")), "qa").join(known.select(F.col("code").alias("cb"), F.col("keys").alias("kb")), "cb").where(differ <= bits).select("qa", "cb")
-    near = scratch.put(near)
-    q = asked.select(F.col("image_id").alias("query_id"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle")), F.col("code").alias("qa"))
-    s = spots.select("pixels", "x", "y", "scale", "angle", F.col("code").alias("cb"))
-    pairs = near.join(q, "qa").join(s, "cb")
+    near = known.join(wanted, ["t", "key"]).where(differ <= bits).select("q", "pixels", "x", "y", "scale", "angle")
+    own = asked.select("q", F.col("image_id").alias("query_id"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle")))
+    pairs = near.join(own, "q")
     # A pair of images has a bounded number of matches, so they fit in one row.
     match = F.struct("qx", "qy", "qscale", "qangle", "x", "y", "scale", "angle")
-    gathered = pairs.groupBy("query_id", "pixels").agg(F.collect_list(match).alias("m")).where(F.size("m") >= inliers)
+    gathered = pairs.groupBy("query_id", "pixels").agg(F.collect_set(match).alias("m")).where(F.size("m") >= inliers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
