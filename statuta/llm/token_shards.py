@@ -34,6 +34,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -74,12 +75,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        pieces = self.tok.get_vocab()
+        self.width = 2 if len(pieces) <= 1 << 16 else 4
+        self.closes = np.zeros(max(pieces.values()) + 1, bool)
+        self.closes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.cores = {"": 0}, {"": []}
-        self.flat, self.starts = array("I"), array("q", [0, 0])
+        self.place, self.pairs = {"": 0}, array("q", [0, 0])  # word -> row of (core, tail)
+        self.part, self.flat, self.starts = {"": 0}, array("I"), array("q", [0, 0])  # core or tail -> its ids
+
+    def keep(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        first, base = len(self.starts) - 1, len(self.flat)
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.starts.frombytes((ends + base).astype(np.int64).tobytes())
+        self.part.update(zip(parts, range(first, first + len(parts)), strict=True))
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Parts of letters only are encoded as one text, where every end-of-word piece closes a part."""
+        plain = [p for p in parts if p.isalpha()]
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):  # else some letter isn't one for the tokenizer
+                self.keep(some, ids, ends)
+        rest = [p for p in parts if p not in self.part]
+        if rest:
+            found = self.raw(rest)
+            self.keep(rest, np.array([i for f in found for i in f], np.int64), np.cumsum([len(f) for f in found]))
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,13 +116,12 @@ class WordEncoder:
                 split.append((w, ""))
             else:
                 split.append((core, w[len(core) :]))
-        new = list({part for pair in split for part in pair if part not in self.cores})
-        self.cores.update(zip(new, self.raw(new), strict=True))
-        for w, (core, tail) in zip(words, split, strict=True):
-            self.flat.extend(self.cores[core])
-            self.flat.extend(self.cores[tail])
-            self.place[w] = len(self.starts) - 1
-            self.starts.append(len(self.flat))
+        part = self.part
+        if new := {p for pair in split for p in pair if p not in part}:
+            self.learn_parts(list(new))
+        first = len(self.place)
+        self.pairs.extend([part[p] for pair in split for p in pair])
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
 
     def words(self, text: str) -> list[str]:
         """The words, in lower case where that surely leaves what the tokenizer makes of them as it is."""
@@ -109,23 +132,33 @@ class WordEncoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = self.words(text) if text else []
-            if len(self.place) > CACHED:
-                self.clear()
-            missing = [w for w in dict.fromkeys(words) if w not in self.place]
-            if any(len(w) > LONGEST for w in missing):
-                yield np.fromiter(self.long(words), np.int64)
-                continue
-            if missing:
-                self.learn(missing)
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-            first, size = starts[at], starts[at + 1] - starts[at]
-            shift = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) if len(words) else np.zeros(0, np.int64)
-            ids = flat[shift + np.arange(len(shift))]
-            del starts, flat, first  # the arrays can't grow while they are seen through these
-            yield ids
+        """The ids of each text.  The texts given at once are looked up at once, so there should not be too many."""
+        lists = [self.words(t) if t else [] for t in texts]
+        if len(self.place) > CACHED:
+            self.clear()
+        place = self.place
+        missing = [w for w in set(chain.from_iterable(lists)) if w not in place]
+        apart: dict[int, list[str]] = {}
+        if long := {w for w in missing if len(w) > LONGEST}:
+            missing = [w for w in missing if w not in long]
+            for k, words in enumerate(lists):
+                if not long.isdisjoint(words):
+                    apart[k], lists[k] = words, []
+        if missing:
+            self.learn(missing)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        both = np.frombuffer(self.pairs, np.int64).reshape(-1, 2)[at].ravel()
+        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        first, size = starts[both], starts[both + 1] - starts[both]
+        ends = np.cumsum(size)
+        shift = np.repeat(first - (ends - size), size)
+        shift += np.arange(len(shift))
+        ids = flat[shift]
+        del starts, flat  # the arrays can't grow while they are seen through these
+        bounds = np.r_[0, ends][2 * np.r_[0, np.cumsum(counts)]]
+        for k in range(len(lists)):
+            yield np.fromiter(self.long(apart[k]), np.int64) if k in apart else ids[bounds[k] : bounds[k + 1]]
 
     def long(self, words: list[str]) -> Iterator[int]:
         """For a text with over-long words, which would fill the cache."""
