@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_enough, table
 
 #: The mark that stands for a space; characters of a unit for the fold, pieces of a model, characters of a block, and units sent to every task, at most.
-SPACE, LONG, MODEL, BLOCK_CHARS, COMMON = "▁", 58, 1_000_000, 12_000_000, 200_000
+SPACE, LONG, MODEL, BLOCK_CHARS, COMMON = "▁", 58, 1_000_000, 12_000_000, 60_000
 #: Marks that often end a word; whether they part from it is still asked of the pieces.
 MARKS = ".,;:!?#$%&*"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -338,9 +338,10 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str, kind: str = "
     coded = scratch.put(packed(encode_units(counted, pieces, first_byte, kind), pieces, first_byte, kind_of_ids))
     scratch.sweep()
     # The units of most blocks, a bounded number of short strings, go to every task; the rest are joined.
-    common = coded.where((F.col("n") > 1) & (F.length("unit") <= LONG)).orderBy(F.desc("n"), "unit").limit(COMMON).collect()
-    known = {r["unit"]: (bytes(r["ids"]), r["same"]) for r in common}
-    spread = docs.sparkSession.createDataFrame([(u,) for u in known], "unit string")
+    common = coded.where((F.col("n") > 1) & (F.length("unit") <= LONG)).orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids", "same").toArrow()
+    known = dict(zip(common["unit"].to_pylist(), zip(common["ids"].to_pylist(), common["same"].to_pylist(), strict=True), strict=True))
+    spread = docs.sparkSession.createDataFrame(common.select(["unit"]))
+    del common
     rare = each.join(F.broadcast(spread), "unit", "left_anti").join(coded.drop("n"), "unit").groupBy("block").agg(F.collect_list(F.struct("k", "ids", "same")).alias("units"))
     told = blocks.select("block").join(rare, "block", "left")
 
