@@ -266,7 +266,7 @@ def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: i
     return best.join(classes, "pixels").select("query_id", "match_id", "n_copies", "inliers")
 
 
-def consensus(m: np.ndarray, angle: float = 0.4, ratio: float = 0.35, shift: float = 5.0) -> int:
+def consensus(m: np.ndarray, angle: float = 0.4, ratio: float = 0.35, shift: float = 3.0) -> int:
     """The most points, on either side, that agree on one rotation, scale and shift.
 
     ``m`` has a row (x, y, scale, angle of the query's point, then of the image's) per match.  Each match in
@@ -283,7 +283,7 @@ def consensus(m: np.ndarray, angle: float = 0.4, ratio: float = 0.35, shift: flo
         dx, dy = m[:, 0] - m[k, 0], m[:, 1] - m[k, 1]
         away = np.hypot(m[:, 4] - m[k, 4] - (c * dx - s * dy), m[:, 5] - m[k, 5] - (s * dx + c * dy))
         # The turn of one point is rough, so what it predicts far away may be further off.
-        fit &= away < shift + 0.08 * np.hypot(dx, dy)
+        fit &= away < shift + 0.04 * np.hypot(dx, dy)
         if fit.sum() > best:
             best = min(len(np.unique(m[fit, 0:2], axis=0)), len(np.unique(m[fit, 4:6], axis=0)))
     return best
