@@ -342,8 +342,9 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str, kind: str = "
     known = dict(zip(common["unit"].to_pylist(), zip(common["ids"].to_pylist(), common["same"].to_pylist(), strict=True), strict=True))
     spread = docs.sparkSession.createDataFrame(common.select(["unit"]))
     del common
-    rare = each.join(F.broadcast(spread), "unit", "left_anti").join(coded.drop("n"), "unit").groupBy("block").agg(F.collect_list(F.struct("k", "ids", "same")).alias("units"))
-    told = blocks.select("block").join(rare, "block", "left")
+    # Spark takes the lists for as small as the table of blocks that they come from, so it must be told to merge.
+    rare = each.join(F.broadcast(spread), "unit", "left_anti").hint("merge").join(coded.drop("n").hint("merge"), "unit").groupBy("block").agg(F.collect_list(F.struct("k", "ids", "same")).alias("units"))
+    told = blocks.select("block").join(rare.hint("merge"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
