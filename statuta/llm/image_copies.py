@@ -2,13 +2,14 @@
 
 An image becomes corners over four scales, ``POINTS`` / 2 at most in the first and half as many in each other.  Each has an
 orientation (from the centroid of its surroundings) and 256 binary tests on the
-smoothed image, turned by it.  The bits are cut into eight 32-bit keys; a query's
-descriptor meets all others that agree in any whole key (a Hamming table a key)
-and keeps those within ``BITS`` bits.  Matches vote for a rotation, scale and shift;
-images with at least ``INLIERS`` points that agree on one are copies.
+smoothed image, turned by it.  A query's descriptor is compared with every other
+by matrix products and matches all within ``BITS`` bits, none missed.  Matches vote
+for a rotation, scale and shift; images with at least ``INLIERS`` points that agree
+on one are copies.
 
-Images with equal pixels are one class, so exact copies are joined once.  There
-is no limit on candidates.
+Images with equal pixels are one class, so exact copies are compared once.  There
+is no limit on candidates; the price is a comparison of every pair of descriptors.
+The queries are taken in blocks of ``ASKED``, so what a task holds has a bound.
 
 The tables at hand have no pictures.  The query draws each vector of
 ``embeddings`` as a sum of 64 plane waves, and searches edited copies of every
@@ -27,20 +28,20 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_enough, table
+from .common import Scratch, table
 
 POINTS, BITS, INLIERS = 64, 56, 3
 SCALES = (1.0, 0.87, 0.75, 0.65)
 PATCH, EDGE = 11, 16
-KEYS = 8
-#: Keys of queries that are sent to every task at most; beyond, both sides are shuffled.
-WANTED = 300_000
+#: Query images that are sent to every task at once, and that are compared in one product.
+ASKED, TOGETHER = 4_096, 32
 
 
 def read_image(data: bytes | None) -> np.ndarray | None:
@@ -143,11 +144,12 @@ def candidate_tests(seed: int = 256, most: int = 2048) -> np.ndarray:
 def tests(images: int = 40) -> np.ndarray:
     """256 of the candidates that come out either way about as often and tell different things.
 
-    They are chosen on drawn pictures of random vectors: by evenness, each correlated little with those
-    before it.  Turned patches have a bright side, so tests picked at random would mostly say the same.
+    They are chosen on smoothed noise, which has nothing of the pictures that are searched: by evenness, each
+    correlated little with those before it.  Turned patches have a bright side, so tests picked at random would
+    mostly say the same.
     """
-    rng, pictures, candidates = np.random.Generator(np.random.PCG64(1)), waves(), candidate_tests()
-    codes = [describe_image(picture(rng.normal(size=64).tolist(), pictures), candidates)[1] for _ in range(images)]
+    rng, candidates = np.random.Generator(np.random.PCG64(1)), candidate_tests()
+    codes = [describe_image(noise(rng), candidates)[1] for _ in range(images)]
     bits = np.unpackbits(np.concatenate(codes), axis=1)[:, : len(candidates)].astype(np.float32)
     even = np.abs(bits.mean(0) - 0.5)
     centred = bits - bits.mean(0)
@@ -161,11 +163,17 @@ def tests(images: int = 40) -> np.ndarray:
                 chosen.append(k)
                 worst = np.maximum(worst, alike[k])
                 if len(chosen) == 256:
-                    # Far-apart ranks side by side, so that the bits of one key say different things.
-                    return candidates[np.array(chosen).reshape(32, 8).T.ravel()]
+                    return candidates[chosen]
     return candidates[:256]
 
 
+def noise(rng: np.random.Generator, size: int = 112, grain: int = 3) -> np.ndarray:
+    """Smoothed noise as grey levels."""
+    n = -(-size // grain)
+    x = resize(blur(rng.normal(size=(n, n)).astype(np.float32)), grain)[:size, :size]
+    return np.clip(128 + 45 * x / float(x.std()), 0, 255).astype(np.float32)
+
+
 def describe_image(grey: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) per corner, in pixels of the image, and its 32 bytes."""
     points, codes = [], []
@@ -207,70 +215,113 @@ def describe_image(grey: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def describe(images: DataFrame, image: str = "image", image_id: str = "image_id") -> DataFrame:
-    """(image_id, pixels, x, y, scale, angle, code, keys) per corner; pixels is a digest of the image's grey levels."""
-    kind = "image_id long, pixels string, x double, y double, scale double, angle double, code binary, keys array<int>"
-
+    """(image_id, pixels, points, codes) per image with corners; pixels is a digest of the image's grey levels."""
     pairs = tests()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in (big.slice(k, 100) for k in range(0, big.num_rows, 100)):
-                ids, digests, all_points, all_codes = [], [], [np.zeros((0, 4))], [np.zeros((0, 32), np.uint8)]
+                rows, digests, all_points, all_codes = [], [], [], []
                 for row, data in enumerate(batch.column(1)):
                     if (grey := read_image(data.as_py())) is None:
                         continue
                     points, codes = describe_image(grey, pairs)
-                    ids += [row] * len(points)
-                    digests += [hashlib.blake2b(np.array(grey.shape).tobytes() + grey.tobytes(), digest_size=16).hexdigest()] * len(points)
-                    all_points.append(points)
-                    all_codes.append(codes)
-                p, c = np.concatenate(all_points), np.concatenate(all_codes)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(c) + 1, 8, dtype=np.int32)), pa.array(np.ascontiguousarray(c).view("<i4").ravel()))
-                columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(digests, pa.string()), *(pa.array(p[:, k]) for k in range(4)), pa.array([x.tobytes() for x in c], pa.binary()), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["image_id", "pixels", "x", "y", "scale", "angle", "code", "keys"])
-
+                    if not len(points):
+                        continue
+                    rows.append(row)
+                    digests.append(hashlib.blake2b(np.array(grey.shape).tobytes() + grey.tobytes(), digest_size=16).hexdigest())
+                    all_points.append(points.astype("<f4").tobytes())
+                    all_codes.append(codes.tobytes())
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.string()), pa.array(all_points, pa.binary()), pa.array(all_codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["image_id", "pixels", "points", "codes"])
+
+    kind = "image_id long, pixels string, points binary, codes binary"
     return images.select(F.col(image_id).cast("long").alias("image_id"), F.col(image).cast("binary").alias("image")).mapInArrow(run, kind)
 
 
+@dataclass
+class Described:
+    """The points and codes of some images, one after the other; those of image k are from first[k] to first[k + 1]."""
+
+    points: np.ndarray
+    codes: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, points: list[bytes], codes: list[bytes]) -> Described:
+        sizes = [len(c) // 32 for c in codes]
+        return cls(np.frombuffer(b"".join(points), "<f4").reshape(-1, 4), np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 32), np.r_[0, np.cumsum(sizes, dtype=np.int64)])
+
+    def signs(self, lo: int, hi: int) -> np.ndarray:
+        """The bits of images lo to hi as 1 and -1: a product of two is 256 less twice the bits that differ."""
+        return np.unpackbits(self.codes[self.first[lo] : self.first[hi]], axis=1).astype(np.float32) * 2 - 1
+
+
+def agreeing(asked: Described, known: Described, bits: int, inliers: int) -> Iterator[tuple[int, int, int]]:
+    """(query, image, points that agree) of all pairs of images with enough points that do."""
+    stored = known.signs(0, len(known.first) - 1).T
+    image = np.repeat(np.arange(len(known.first) - 1), np.diff(known.first))
+    n_asked = len(asked.first) - 1
+    query = np.repeat(np.arange(n_asked), np.diff(asked.first))
+    for lo in range(0, n_asked, TOGETHER):
+        a, b = np.nonzero(asked.signs(lo, min(lo + TOGETHER, n_asked)) @ stored >= 256 - 2 * bits)
+        a += asked.first[lo]
+        pair = query[a] * len(known.first) + image[b]
+        order = np.argsort(pair, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0, True]) if len(pair) else np.zeros(1, np.int64)
+        for k in np.flatnonzero(np.diff(edges) >= inliers):
+            own = order[edges[k] : edges[k + 1]]
+            n = consensus(np.concatenate([asked.points[a[own]], known.points[b[own]]], axis=1).astype(np.float64))
+            if n >= inliers:
+                yield int(query[a[own[0]]]), int(image[b[own[0]]]), n
+
+
+def query_blocks(asked: DataFrame, size: int = ASKED) -> Iterator[list]:
+    """The described queries, block by block; no more than one block is held."""
+    block = []
+    for r in asked.select("image_id", "points", "codes").toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: int = BITS, inliers: int = INLIERS) -> DataFrame:
     """(query_id, match_id, n_copies, inliers): for each query image the classes of images that hold a copy of it.
 
     match_id is the least id among images with those pixels, n_copies their number.
     """
     stored = scratch.put(describe(images))
-    asked = scratch.put(describe(queries).withColumn("q", F.monotonically_increasing_id()))
-    classes = stored.groupBy("pixels").agg(F.min("image_id").alias("match_id"), F.countDistinct("image_id").alias("n_copies"))
-    # Images with equal pixels have one row a corner.
-    spots = stored.groupBy("pixels", "x", "y", "scale", "angle").agg(F.first("keys").alias("kb"))
-    known = spots.select("*", F.posexplode("kb").alias("t", "key"))
-    wanted = asked.select("q", F.col("keys").alias("ka"), F.posexplode("keys").alias("t", "key"))
-    if small_enough(wanted, WANTED):
-        wanted = F.broadcast(wanted)
-    differ = sum((F.bit_count(F.col("ka")[k].bitwiseXOR(F.col("kb")[k])) for k in range(KEYS)), F.lit(0))
-    near = known.join(wanted, ["t", "key"]).where(differ <= bits).select("q", "pixels", "x", "y", "scale", "angle")
-    own = asked.select("q", F.col("image_id").alias("query_id"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle")))
-    pairs = near.join(own, "q")
-    # A pair of images has a bounded number of matches, so they fit in one row.
-    match = F.struct("qx", "qy", "qscale", "qangle", "x", "y", "scale", "angle")
-    gathered = pairs.groupBy("query_id", "pixels").agg(F.collect_set(match).alias("m")).where(F.size("m") >= inliers)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = []
-            for m in batch.column(2):
-                fields = m.values.flatten()
-                counts.append(consensus(np.stack([f.to_numpy(zero_copy_only=False) for f in fields], 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["query_id", "pixels", "inliers"])
-
-    best = gathered.mapInArrow(run, "query_id long, pixels string, inliers long").where(F.col("inliers") >= inliers)
-    return best.join(classes, "pixels").select("query_id", "match_id", "n_copies", "inliers")
+    asked = scratch.put(describe(queries))
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = stored.groupBy("pixels").agg(F.min("image_id").alias("match_id"), F.countDistinct("image_id").alias("n_copies"))
+    # Images with equal pixels have the same points.
+    known = scratch.put(stored.groupBy("pixels").agg(F.first("points").alias("points"), F.first("codes").alias("codes")).repartition(parts))
+    kind = "query_id long, pixels string, inliers long"
+    found = stored.sparkSession.createDataFrame([], kind)
+    for block in query_blocks(asked):
+        numbers, wanted = [r["image_id"] for r in block], Described.of([bytes(r["points"]) for r in block], [bytes(r["codes"]) for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch], numbers: list = numbers, wanted: Described = wanted) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for batch in (big.slice(k, 64) for k in range(0, big.num_rows, 64)):
+                    pairs = list(agreeing(wanted, Described.of(batch.column(1).to_pylist(), batch.column(2).to_pylist()), bits, inliers))
+                    pixels = batch.column(0).take(pa.array([k for _, k, _ in pairs], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([numbers[q] for q, _, _ in pairs], pa.int64()), pixels, pa.array([n for *_, n in pairs], pa.int64())], ["query_id", "pixels", "inliers"])
+
+        found = found.unionByName(scratch.put(known.mapInArrow(run, kind)))
+    best = found.groupBy("query_id", "pixels").agg(F.max("inliers").alias("inliers"))
+    return best.join(ids, "pixels").select("query_id", "match_id", "n_copies", "inliers")
 
 
 def consensus(m: np.ndarray, angle: float = 0.4, ratio: float = 0.35, shift: float = 3.0) -> int:
     """The most points, on either side, that agree on one rotation, scale and shift.
 
     ``m`` has a row (x, y, scale, angle of the query's point, then of the image's) per match.  Each match in
-    turn is the hypothesis; the others must have its turn and scale about, and land where it puts them.
+    turn is the hypothesis; the others must have its turn and scale about, and land where it puts them.  Points that are not farther apart
+    than ``shift`` (in the query's pixels) are one corner in several scales and count once.
     """
     turn, grow = m[:, 7] - m[:, 3], np.log2(m[:, 6] / m[:, 2])
     best = 0
@@ -285,10 +336,19 @@ def consensus(m: np.ndarray, angle: float = 0.4, ratio: float = 0.35, shift: flo
         # The turn of one point is rough, so what it predicts far away may be further off.
         fit &= away < shift + 0.04 * np.hypot(dx, dy)
         if fit.sum() > best:
-            best = min(len(np.unique(m[fit, 0:2], axis=0)), len(np.unique(m[fit, 4:6], axis=0)))
+            best = max(best, min(places(m[fit, 0:2], shift), places(m[fit, 4:6], shift * 2 ** grow[k])))
     return best
 
 
+def places(points: np.ndarray, apart: float) -> int:
+    """The number of points (x, y), each farther than ``apart`` from those counted before it."""
+    kept: list[tuple[float, float]] = []
+    for x, y in points.tolist():
+        if all((x - a) ** 2 + (y - b) ** 2 > apart * apart for a, b in kept):
+            kept.append((x, y))
+    return len(kept)
+
+
 def waves(size: int = 112, seed: int = 64) -> np.ndarray:
     """64 pictures of plane waves of fixed random directions, lengths and phases, flattened."""
     rng = np.random.Generator(np.random.PCG64(seed))

@@ -45,6 +45,33 @@ def test_copies_are_found(spark):
         assert im.find_copies(wanted.where("false"), known, s).collect() == [] and im.find_copies(wanted, known.where("false"), s).collect() == []
 
 
+def test_each_kind_of_edit_is_found(spark):
+    rng = np.random.default_rng(5)
+    waves = im.waves()
+    images = [im.picture(rng.normal(size=64).tolist(), waves) for _ in range(120)]
+    schema = "image_id long, image binary"
+    with Scratch(spark, "t") as s:
+        known = spark.createDataFrame([(k, im.write_image(x)) for k, x in enumerate(images)], schema)
+        wanted = spark.createDataFrame([(k, im.write_image(im.edited(x, k))) for k, x in enumerate(images)], schema)
+        own = {r["query_id"] for r in im.find_copies(wanted, known, s).where("query_id = match_id").collect()}
+    assert [kind for kind in range(6) if sum(k % 6 == kind for k in own) < 0.9 * 20] == []
+
+
+def test_all_points_within_the_bits_meet():
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 256, 32).astype(np.uint8)
+    # Seven bits of each 32 differ, so no whole key is equal.
+    other = np.packbits(np.unpackbits(code) ^ np.tile(np.r_[np.ones(7, np.uint8), np.zeros(25, np.uint8)], 8))
+    points = np.c_[np.arange(5) * 20.0, np.arange(5) * 11.0, np.ones(5), np.zeros(5)].astype("<f4")
+    one, two = (im.Described.of([points.tobytes()], [np.tile(c, 5).tobytes()]) for c in (code, other))
+    assert list(im.agreeing(one, two, 56, 3)) == [(0, 0, 5)] and list(im.agreeing(one, two, 55, 3)) == []
+
+
+def test_a_corner_in_several_scales_counts_once():
+    m = np.array([[x + 0.4 * k, x, 1 / s, 0.0] * 2 for x in (10.0, 60.0) for k, s in enumerate(im.SCALES)])
+    assert im.consensus(m) == 2
+
+
 def test_consensus():
     rng = np.random.default_rng(1)
     q = rng.uniform(0, 100, (12, 2))
