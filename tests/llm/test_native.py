@@ -274,6 +274,17 @@ def test_leaks(spark):
         assert decontaminate.find_leaks(docs_of(spark, []), bench, s).collect() == [] and decontaminate.find_leaks(docs_of(spark, rows), bench.where("false"), s).collect() == []
 
 
+def test_leaks_of_common_words(spark):
+    rng = np.random.default_rng(8)
+    weights = 1 / np.arange(1, 3001)
+    text = lambda n, top=3000: " ".join(f"w{k}" for k in rng.choice(top, n, p=weights[:top] / weights[:top].sum()))
+    items = [(k, text(40)) for k in range(60)] + [(100 + k, text(32, 12)) for k in range(8)] + [(200 + k, text(12, 12)) for k in range(8)]
+    rows = [(k, text(200)) for k in range(300)] + [(1000 * at + k, f"{text(at)} {t} {text(60)}") for k, t in items for at in (48, 52, 56, 60)]
+    with Scratch(spark, "t") as s:
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), s, rank=32).collect()}
+    assert {(1000 * at + k, k) for k, _ in items for at in (48, 52, 56, 60)} - got == set()
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
