@@ -80,11 +80,22 @@ def find_base(text: str) -> list[Span]:
 #: Forms that a span of the method must have, and checks on them.  All have bounds, so no junk makes a search long.
 _OPEN, _SHUT = r"\s{0,2}[\[({<]?\s?", r"\s?[\])}>]?\s{0,2}"
 _AT, _DOT = rf"{_OPEN}(?:@|\bat\b|\bAT\b){_SHUT}", rf"{_OPEN}(?:\.|\bdot\b|\bDOT\b){_SHUT}"
+#: A dot that no end of a sentence looks like; behind it any ending counts, behind others only common ones.
+_SURE = r"(?:\.|\s{0,2}[\[({<]\s?(?:\.|dot|DOT)\s?[\])}>]\s{0,2}|\s{1,2}(?:dot|DOT)\s{1,2})"
+_PART = "[A-Za-z0-9-]{1,63}"
 FORMS = {
-    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,8}}{_DOT}(?:com|org|net|edu|gov|io|info|de|fr|es|uk|example)\b"),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[({]?\s?(?:\.|dot)\s?[\])}]?\s?[0-9]{1,3}){3}(?![0-9.])"),
+    "email": re.compile(
+        rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{_AT}(?:{_PART}(?:{_SURE}{_PART}){{0,8}}{_SURE}[A-Za-z]{{2,24}}\b"
+        rf"|{_PART}(?:{_DOT}{_PART}){{0,8}}{_DOT}(?:com|org|net|edu|gov|io|info|de|fr|es|uk|example)\b)"
+    ),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[({]?\s?(?:\.|dot)\s?[\])}]?\s?[0-9]{1,3}){3}(?!\.?[0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+(])(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{2,4}\)[ ./-]?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"),
+    # Three groups; two, behind a country's or a trunk prefix; pairs of digits.
+    "phone": re.compile(
+        r"(?<![0-9+(])(?:(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{2,4}\)[ ./-]?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"
+        r"|(?:(?:\+|00)[0-9]{1,3}[ ./-]?(?:\([0-9]{1,5}\)[ ./-]?|[0-9]{2,5}[ ./-])|\(0[0-9]{1,4}\)[ ./-]?|0[0-9]{1,4}[ ./-])[0-9]{5,8}(?![0-9])"
+        r"|(?:(?:\+|00)[0-9]{1,3}[ ./-]?(?:\(0\)[ ./-]?)?|0)[0-9](?:[ ./-][0-9]{2}){4}(?![ ./-]?[0-9]{2}(?![0-9])|[0-9]))"
+    ),
 }
 
 
@@ -127,7 +138,7 @@ def _make(rng: np.random.Generator, words: list[str]) -> tuple[int, str]:
     kind = int(rng.integers(0, 7))
     if kind == 0:
         at, dot = pick(("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), ("{at}", "{dot}"), ("(at)", "."))
-        return 1, f"{word()}{pick('', '.', '_', '')}{pick('', number(2))}{at}{word()}{dot}{pick('', f'{word()}{dot}')}{pick('com', 'org', 'net', 'de', 'fr', 'es', 'example' + dot + 'com')}"
+        return 1, f"{word()}{pick('', '.', '_', '')}{pick('', number(2))}{at}{word()}{dot}{pick('', f'{word()}{dot}')}{pick('com', 'org', 'net', 'de', 'fr', 'es', 'it', 'nl', 'ch', 'eu', 'example' + dot + 'com')}"
     if kind == 1:
         return 2, pick(".", "[.]", " . ", "(.)", " dot ").join(str(x) for x in rng.integers(0, 256, 4))
     if kind == 2:
@@ -136,7 +147,7 @@ def _make(rng: np.random.Generator, words: list[str]) -> tuple[int, str]:
         return 3, sep.join(d[k : k + 4] for k in range(0, len(d), 4))
     if kind in (3, 4):
         a, b, c = number(3), number(3), number(4)
-        return 4, pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{pick('33', '44', '49')} {number(2)} {number(4)} {number(4)}", f"+{number(2)}/{number(3)}/{number(6)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}")
+        return 4, pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{pick('33', '44', '49')} {number(2)} {number(4)} {number(4)}", f"+{number(2)}/{number(3)}/{number(6)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}", pick(" ", ".", "-").join([f"0{number(1)}", *(number(2) for _ in range(4))]), f"0033 {number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", pick(f"0{number(2)} ", f"0{number(3)}/", f"(0{number(2)}) ") + number(7))
     return 0, pick(f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"{number(1)}.{number(1)}.{number(2)}", number(int(rng.integers(1, 9))), f"${number(1)},{number(3)}.{number(2)}", f"{number(2)}%", f"Version {number(1)}.{number(1)}", "at", "dot", f"({number(4)})", f"[{number(1)}]", f"{number(3)},{number(3)}", "+", "@")
 
 

@@ -356,6 +356,20 @@ def test_personal_data(spark, tagger):
     assert personal_data.find_personal_data(docs_of(spark, []), tagger[0]).collect() == []
 
 
+def test_made_forms_are_confirmed():
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        tag, made = personal_data._make(rng, ["mail", "house", "river"])
+        kind = personal_data.KINDS[tag - 1]
+        if tag and (kind != "card" or personal_data.valid(kind, made)):
+            for after in (" now", "."):
+                assert personal_data.confirm(f"see {made}{after}", [(tag, 4, 4 + len(made))], []) == [(kind, 4, 4 + len(made))], made
+    for kind, form in [("phone", x) for x in ("+49/123/456789", "01 23 45 67 89", "0033 1 23 45 67 89", "030 1234567", "0171/1234567", "(030) 1234567")] + [("ip", "10[.]20[.]30[.]40"), ("email", "name (at) host (dot) it"), ("email", "name [at] host.nl")]:
+        assert personal_data.confirm(f"see {form}. Then", [(personal_data.KINDS.index(kind) + 1, 4, 4 + len(form))], []) == [(kind, 4, 4 + len(form))], form
+    for kind, other in (("ip", "1.2.3.4.5"), ("phone", "01 23 45 67 89 10 11"), ("email", "look at example.html")):
+        assert personal_data.confirm(f"see {other} now", [(personal_data.KINDS.index(kind) + 1, 4, 4 + len(other))], []) == [], other
+
+
 # --- toxicity
 
 
