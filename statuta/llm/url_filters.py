@@ -1,7 +1,7 @@
 """URL rules with redirect equivalence (operator 9, DataFrame functions only).
 
 Nodes are addresses in a canonical form, edges are canonical links and
-immediate redirects found in the pages.  Connected components of those edges
+redirects, after whatever delay, found in the pages.  Connected components of those edges
 are groups of aliases.  A page that a rule fits keeps that rule's verdict.
 Every other page takes the decision of its group: an explicit allow of any
 alias wins over a block, a block wins over nothing, and a group without
@@ -35,7 +35,9 @@ RULES = [
 LINK = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["'\s/>][^>]*"""
 HREF = r"""(?is)\shref\s*=\s*["']?([^"'\s>]+)"""
 META = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["'\s][^>]*"""
-GOTO = r"""(?is)content\s*=\s*["']?\s*0*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+GOTO = r"""(?is)content\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+#: The SQL reads redirects without delay only.
+GOTO_AT_ONCE = r"""(?is)content\s*=\s*["']?\s*0*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
 #: Query parameters that never change what an address shows.
 TRACKING = r"(^|&)(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?"
 #: Parts of an address that servers redirect away.
@@ -72,7 +74,7 @@ def resolve(url: Column, link: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b) of alias keys: each page and the targets of its canonical link and immediate redirect."""
+    """(a, b) of alias keys: each page and the targets of its canonical link and redirect."""
     found = [F.regexp_extract(F.regexp_extract(F.col(html), tag, 0), target, 1) for tag, target in ((LINK, HREF), (META, GOTO))]
     one = pages.select(F.col(url).alias("u"), F.array(*found).alias("links")).where("exists(links, x -> x <> '')")
     return (
@@ -142,7 +144,7 @@ fit AS (SELECT page_id, url, arg_max(h || p, length(h || p)) AS rule, arg_max(v,
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, url),
 raw AS (
   SELECT url, host, path, replace(regexp_extract(regexp_extract(html,{q(LINK)}),{q(HREF)},1),'&amp;','&') AS l FROM pg
-  UNION ALL SELECT url, host, path, replace(regexp_extract(regexp_extract(html,{q(META)}),{q(GOTO)},1),'&amp;','&') FROM pg),
+  UNION ALL SELECT url, host, path, replace(regexp_extract(regexp_extract(html,{q(META)}),{q(GOTO_AT_ONCE)},1),'&amp;','&') FROM pg),
 res AS (SELECT url, CASE WHEN contains(l,'://') THEN l WHEN starts_with(l,'//') THEN 'http:' || l WHEN starts_with(l,'/') THEN 'http://' || host || l
   ELSE 'http://' || host || regexp_replace(path,'[^/]*$','') || l END AS l FROM raw WHERE l <> ''),
 arcs AS (SELECT DISTINCT {key("url")} AS a, {key("l")} AS b FROM res),

@@ -92,6 +92,13 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filters.judge_urls(df, url_filters.RULES, log).where("page_id = 8").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("delay", ["0", "5", "0.5", " 10 ", ".5", ""])
+def test_delayed_redirects(spark, delay):
+    rows = [(1, "http://old.net/a", f'<meta http-equiv="refresh" content="{delay}; url=http://b.com/de/z">'), (2, "http://b.com/de/z", None), (3, "http://old.net/b", '<meta http-equiv="refresh" content="30">')]
+    got = url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filters.RULES).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block", 3: "allow"}
+
+
 # --- lines
 
 
