@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -14,7 +16,7 @@ from ..functions.filters import document_filter, metadata_filter, with_jurisdict
 from ..functions.schema import require_columns, require_positive
 from .vectors import squared_distance, squared_distance_to
 
-#: Most queries of one search; what a task holds of them is a matrix of this many rows.
+#: Most queries of one block of a search; what a task holds of them is a matrix of this many rows.
 QUERIES = 10_000
 
 
@@ -32,6 +34,16 @@ def nearest(index: DataFrame, vector: list[float], k: int = 10, embedding: str =
     return found.withColumn("rank", F.row_number().over(Window.orderBy("distance", tie)))
 
 
+def query_blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries with a vector in blocks of at most ``QUERIES``; one empty block if there are none."""
+    found = queries.select("query_id", "vector").where("vector is not null").toLocalIterator()
+    block = list(islice(found, QUERIES))
+    while True:
+        yield block
+        if not (block := list(islice(found, QUERIES))):
+            return
+
+
 def search(
     index: DataFrame,
     queries: DataFrame,
@@ -46,41 +58,42 @@ def search(
     """``queries`` (query_id, vector) against all rows that fit: query_id, rank, distance and the index's columns but the vector.
 
     Tasks hold the queries as one matrix and send only their own nearest rows on, so the shuffle has
-    at most k rows (and ties) per query and batch.
+    at most k rows (and ties) per query and batch.  Beyond ``QUERIES`` they are searched block by block.
     """
     require_positive(k=k)
     require_columns(index, [embedding, tie])
     require_columns(queries, ["query_id", "vector"])
-    asked = queries.select("query_id", "vector").where("vector is not null").limit(QUERIES + 1).collect()
-    if len(asked) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries; search them in parts")
     rows = narrowed(index, jurisdiction, where, where_document, text).where(F.col(embedding).isNotNull())
     rest = [c for c in rows.columns if c != embedding]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [queries.schema["query_id"], *(rows.schema[c] for c in rest)])
     names = ["query_id", *rest, "distance"]
     id_type = queries.select("query_id").schema.fields[0].dataType.simpleString()
-    matrix = np.array([r["vector"] for r in asked], np.float64)
-    numbers = [r["query_id"] for r in asked]
     arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches if numbers else ():
-            for batch in (big.slice(j, 2000) for j in range(0, big.num_rows, 2000)):
-                vectors = batch.column(batch.num_columns - 1)
-                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                if x.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"vectors of {x.shape[1]} numbers in the index, of {matrix.shape[1]} in the queries")
-                at, own, far = [], [], []
-                for q, v in enumerate(matrix):
-                    d = ((x - v) ** 2).sum(1)
-                    best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    at.append(best)
-                    own += [numbers[q]] * len(best)
-                    far.append(d[best])
-                picked = batch.take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(own, arrow_type), *picked.columns[:-1], pa.array(np.concatenate(far))], names)
-
-    near = rows.select(*rest, embedding).mapInArrow(run, f"{kind}, distance double")
+    def block_nearest(asked: list) -> DataFrame:
+        matrix = np.array([r["vector"] for r in asked], np.float64)
+        numbers = [r["query_id"] for r in asked]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches if numbers else ():
+                for batch in (big.slice(j, 2000) for j in range(0, big.num_rows, 2000)):
+                    vectors = batch.column(batch.num_columns - 1)
+                    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    if x.shape[1] != matrix.shape[1]:
+                        raise ValueError(f"vectors of {x.shape[1]} numbers in the index, of {matrix.shape[1]} in the queries")
+                    at, own, far = [], [], []
+                    for q, v in enumerate(matrix):
+                        d = ((x - v) ** 2).sum(1)
+                        best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                        at.append(best)
+                        own += [numbers[q]] * len(best)
+                        far.append(d[best])
+                    picked = batch.take(pa.array(np.concatenate(at)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, arrow_type), *picked.columns[:-1], pa.array(np.concatenate(far))], names)
+
+        return rows.select(*rest, embedding).mapInArrow(run, f"{kind}, distance double")
+
+    near = reduce(DataFrame.unionByName, map(block_nearest, query_blocks(queries)))
     order = Window.partitionBy("query_id").orderBy("distance", tie)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "distance", *rest)
 

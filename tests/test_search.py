@@ -30,6 +30,13 @@ def test_topk_with_ties(spark, index):
     assert retrieve.search(index, queries.where("false"), 3).count() == 0
 
 
+def test_more_queries_than_a_block(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(k, [float(k % 3), 1.0, -float(k % 2), 0.0]) for k in range(8)] + [(8, None)], "query_id long, vector array<double>")
+    want = sorted(map(tuple, retrieve.search(index, queries, 4).collect()))
+    monkeypatch.setattr(retrieve, "QUERIES", 3)
+    assert sorted(map(tuple, retrieve.search(index, queries, 4).collect())) == want and len(want) == 32
+
+
 def test_distance_forms(index):
     v = [1.0, 2.0, 0.0, -1.0]
     one = index.select(vectors.squared_distance("embedding", retrieve.literal_vector(v)).alias("a"), vectors.squared_distance_to(F.col("embedding"), v).alias("b")).collect()
