@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +97,34 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def release_memory() -> None:
+    """Gives memory that is no longer used back to the system: Python workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that gives its memory back when it ends."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return tidied
+
+
+def parts_for(docs: DataFrame, mb: int = 16) -> int:
+    """A number of shuffle partitions that grows with the input, also where the session's setting doesn't."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # of other sources than files Spark doesn't know the size
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 1_000_000))
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

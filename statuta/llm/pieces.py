@@ -9,40 +9,40 @@ a BPE model, for which the best sum of scores is not what the library returns;
 there the fold runs over the same edges and applies, again and again, the best
 merge of two neighbours, leftmost first.
 
-Documents meet the result without a shuffle of texts: each task writes its
-documents as numbers of distinct units.  The ids of at most ``COMMON`` units that
-most blocks share go to every task, those of the others are joined to the
-blocks, and each block's documents are put together from both.
+Texts are never shuffled.  Each task writes its documents to block files, as
+numbers of distinct units, and sends the units themselves on, packed by the hash
+part that they fall into.  A part's units are folded once each, and go back to
+the blocks that asked for them, packed again.
 
 Defined cases: null or empty texts have no ids; characters without a piece
-become the pieces of their UTF-8 bytes; units of over ``LONG`` characters are
-folded in Python over the same piece table; rows that share a doc_id are encoded
-each; null ids are kept; other columns are ignored.
+become the pieces of their UTF-8 bytes; units of over ``LONG`` characters, for
+which the fold's 64-bit masks are too short, are folded in Python over the same
+pieces, for either kind of model; rows that share a doc_id are encoded each; null
+ids are kept; other columns are ignored; round_trip is false for texts that hold
+U+2581 themselves, since decoding makes spaces of them.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_enough, table
+from .common import Scratch, parts_for, small_enough, table, tidy
 
-#: The mark that stands for a space; characters of a unit for the fold, pieces of a model, characters of a block, and units sent to every task, at most.
-SPACE, LONG, MODEL, BLOCK_CHARS, COMMON = "▁", 58, 1_000_000, 12_000_000, 60_000
-#: Marks that often end a word; whether they part from it is still asked of the pieces.
-MARKS = ".,;:!?#$%&*"
-RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: The mark that stands for a space; characters of a unit for the fold, pieces of a model, and characters of a block and of what is cut at once, about.
+SPACE, LONG, MODEL, BLOCK_CHARS, LOT_CHARS = "▁", 58, 1_000_000, 30_000_000, 1_000_000
+#: A byte that no UTF-8 text has; it stands between packed units.
+BETWEEN = b"\xff"
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -60,95 +60,172 @@ def read_pieces(path: str) -> tuple[list[tuple[str, float, int]], int]:
     return [(m.id_to_piece(i), m.get_score(i), i) for i in ordinary], m.piece_to_id("<0x00>")
 
 
-class Cutter:
-    """Cuts texts into units: wherever two neighbouring characters stand together in no piece."""
-
-    def __init__(self, joints: set[str]):
-        self.joints = joints
-
-    def words(self, text: str) -> list[str]:
-        """Parts that begin with a space or are the first; all but those of texts with runs of spaces go without their mark."""
-        if "  " in text or SPACE in text or text[0] == " ":
-            return RUNS.findall(SPACE + text.replace(" ", SPACE))
-        return text.split(" ")
-
-    def units(self, word: str) -> list[str]:
-        return self.cut(word if word[:1] == SPACE else SPACE + word)
-
-    def cut(self, word: str) -> list[str]:
-        at = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joints]
-        return [word[i:j] for i, j in pairwise([0, *at, len(word)])] if at else [word]
-
-
 def joints_of(pieces: list[tuple[str, float, int]]) -> set[str]:
     return {p[k : k + 2] for p, _, _ in pieces for k in range(len(p) - 1)}
 
 
-def dictionary_blocks(docs: DataFrame, folder: str, joints: set[str], chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, n_units): blocks of documents, each written to a file of its distinct units and of its texts in unit numbers.
+class Cutter:
+    """Cuts texts into units: wherever two neighbouring characters stand together in no piece."""
 
-    The file of block b is ``folder``/b: the documents' ids and their numbers of units, then the units'
-    places in the list and the list itself, compressed.
+    def __init__(self, joints: set[str]):
+        self.joints, chars = joints, sorted({c for j in joints for c in j})
+        self.kinds = len(chars) + 1
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, self.kinds)
+        self.joined = np.zeros(self.kinds**2, bool)
+        self.joined[[self.kind[ord(a)] * self.kinds + self.kind[ord(b)] for a, b in joints]] = True
+
+    def chunks(self, text: str, most: int = LOT_CHARS) -> Iterator[str]:
+        """The text with marks for spaces, in parts that end where no piece reaches across."""
+        marked, start = SPACE + text.replace(" ", SPACE), 0
+        while len(marked) - start > most:
+            end = start + most
+            while end < len(marked) and marked[end - 1 : end + 1] in self.joints:
+                end += 1
+            yield marked[start:end]
+            start = end
+        if start < len(marked):
+            yield marked[start:]
+
+    def cut(self, marked: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The units of all texts one after the other, and how many each text has."""
+        whole = "".join(marked)
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        ends = np.cumsum(size)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[points]
+        opens = np.ones(len(points) + 1, bool)
+        opens[1:-1] = ~self.joined[kind[:-1] * self.kinds + kind[1:]] if len(points) else True
+        opens[ends] = True
+        at = np.flatnonzero(opens)
+        width = np.ones(len(points), np.int8)
+        for edge in (0x7F, 0x7FF, 0xFFFF):
+            width += points > edge
+        offsets = np.r_[0, np.cumsum(width, dtype=np.int32)][at].astype(np.int32)
+        counts = np.searchsorted(at, ends) - np.searchsorted(at, ends - size)
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(whole.encode("utf-8", "surrogatepass"))), counts
+
+
+class Block:
+    """Documents as numbers of distinct units, to be written to one file."""
+
+    def __init__(self, cutter: Cutter):
+        self.cutter = cutter
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.marked: list[bool] = []
+        self.lots: list[pa.DictionaryArray] = []
+        self.waiting: list[str] = []
+        self.owner: list[int] = []
+        self.chars = self.pending = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        self.ids.append(doc_id)
+        self.sizes.append(0)
+        self.marked.append(bool(text) and SPACE in text)
+        for chunk in self.cutter.chunks(text) if text else ():
+            self.waiting.append(chunk)
+            self.owner.append(len(self.ids) - 1)
+            self.pending += len(chunk)
+            if self.pending >= LOT_CHARS:
+                self.cut()
+
+    def cut(self) -> None:
+        units, counts = self.cutter.cut(self.waiting)
+        for k, n in zip(self.owner, counts.tolist(), strict=True):
+            self.sizes[k] += n
+        self.lots.append(units.dictionary_encode())
+        self.chars += self.pending
+        self.waiting, self.owner, self.pending = [], [], 0
+
+    def numbered(self) -> tuple[np.ndarray, pa.StringArray]:
+        """The number of every unit, in order, and the distinct units; the most frequent ones have the least numbers."""
+        if self.waiting:
+            self.cut()
+        own = pa.chunked_array([x.dictionary for x in self.lots], pa.string()).combine_chunks().dictionary_encode()
+        own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+        place, lots, lo = own.indices.to_numpy(), [], 0
+        for x in self.lots:
+            lots.append(place[lo : lo + len(x.dictionary)][x.indices.to_numpy()])
+            lo += len(x.dictionary)
+        number = np.concatenate([*lots, np.zeros(0, np.int32)])
+        order = np.argsort(-np.bincount(number, minlength=len(own.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        return rank[number], own.dictionary.take(pa.array(order))
+
+
+def unit_parts(units: pa.StringArray, parts: int) -> np.ndarray:
+    """The hash part of each unit."""
+    return np.fromiter(map(zlib.crc32, units.cast(pa.binary()).to_pylist()), np.int64, len(units)) % parts
+
+
+def planes(number: np.ndarray) -> list[bytes]:
+    """The bytes of like weight side by side, which compress better."""
+    return [number.astype("<i4").view(np.uint8).reshape(-1, 4)[:, k].tobytes() for k in range(4)]
+
+
+def from_planes(columns: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(c, np.uint8) for c in columns], 1).reshape(-1).view("<i4")
+
+
+def unit_blocks(docs: DataFrame, folder: str, joints: set[str], parts: int, chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, part, units): the packed distinct units of each block of documents, by hash part; part -1, without units, stands for the block.
+
+    The file of block b is ``folder``/b: the documents' ids, numbers of units and whether the mark is in the
+    text; then the units' numbers, and the number of each unit in the order in which its parts list it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        cut, fs, place = Cutter(joints), *pyarrow.fs.FileSystem.from_uri(folder)
+        press = zstandard.ZstdCompressor(level=3).compress
+        cutter, fs, place = Cutter(joints), *pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(place, recursive=True)
-        units: dict[str, int] = {}
-        words: dict[str, int] = {}
-        cores: dict[str, list[int]] = {}
-        flat, starts = array("i"), array("q", [0])
-        ids: list[int | None] = []
-        sizes: list[int] = []
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def learn(word: str) -> None:
-            words[word] = len(starts) - 1
-            flat.extend([units.setdefault(u, len(units)) for u in cut.units(word)])
-            starts.append(len(flat))
-
-        def flush() -> pa.RecordBatch:
+
+        def flush(block: Block) -> pa.RecordBatch:
             name = uuid.uuid4().int >> 65
-            data = np.concatenate([*parts, np.zeros(0, np.int32)])
-            columns = [data.view(np.uint8).reshape(-1, 4)[:, k].tobytes() for k in range(3)]  # like bytes side by side compress better
-            head = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64())})
+            number, units = block.numbered()
+            part = unit_parts(units, parts)
+            by_text = pc.sort_indices(units).to_numpy() if len(units) else np.zeros(0, np.int64)
+            listed = by_text[np.argsort(part[by_text], kind="stable")]
+            head = pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "size": pa.array(block.sizes, pa.int64()), "marked": pa.array(block.marked, pa.bool_())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            names = pa.RecordBatch.from_pydict({"unit": pa.array(list(units), pa.string())})
-            listed = pa.BufferOutputStream()
-            with pa.ipc.new_stream(listed, names.schema) as out:
-                out.write_batch(names)
-            packed = [sink.getvalue().to_pybytes(), *(zstandard.ZstdCompressor(level=3).compress(c) for c in [*columns, listed.getvalue().to_pybytes()])]
+            packed = [press(c) for c in [sink.getvalue().to_pybytes(), *planes(number), *planes(listed)]]
             with fs.open_output_stream(f"{place}/{name}") as f:
                 f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed))
-            return pa.RecordBatch.from_pydict({"block": [name], "n_units": [len(units)]})
+            edges = np.flatnonzero(np.r_[True, np.diff(part[listed]) != 0, True]) if len(listed) else np.zeros(1, np.int64)
+            own = units.cast(pa.binary()).take(pa.array(listed)).to_pylist()
+            lists = [press(BETWEEN.join(own[i:j])) for i, j in pairwise(edges.tolist())]
+            asked = [-1, *part[listed][edges[:-1]].tolist()]
+            return pa.RecordBatch.from_pydict({"block": pa.array([name] * len(asked), pa.int64()), "part": pa.array(asked, pa.int64()), "units": pa.array([b"", *lists], pa.binary())})
 
+        block = Block(cutter)
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 part = batch.slice(k, 100)
                 for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    split = cut.words(text) if text else []
-                    for w in set(split):
-                        if w not in words:
-                            learn(w)
-                    at = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
-                    found = ragged(np.frombuffer(flat, np.int32), np.frombuffer(starts, np.int64), at) if split else np.zeros(0, np.int32)
-                    ids.append(own)
-                    sizes.append(len(found))
-                    parts.append(found)
-                    held += len(text or "")
-                    if held >= chars or len(units) > 2_000_000:
-                        yield flush()
-                        units, words, cores, ids, sizes, parts, held = {}, {}, {}, [], [], [], 0
-                        flat, starts = array("i"), array("q", [0])
-        if ids:
-            yield flush()
-
-    return docs.mapInArrow(run, "block long, n_units long")
+                    block.add(own, text)
+                    if block.chars >= chars:
+                        yield flush(block)
+                        block = Block(cutter)
+        if block.ids:
+            yield flush(block)
+
+    return docs.mapInArrow(tidy(run), "block long, part long, units binary")
+
+
+def read_block(uri: str) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """(doc_id, size, marked), the units' numbers, and the numbers in the order of the parts' lists."""
+    import zstandard
+
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    data = fs.open_input_file(path).read()
+    at = np.r_[72, 72 + np.cumsum(np.frombuffer(data, "<i8", 9))].tolist()
+    head, *columns = (zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in pairwise(at))
+    return pa.ipc.open_stream(head).read_all().combine_chunks().to_batches()[0], from_planes(columns[:4]), from_planes(columns[4:])
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -158,34 +235,18 @@ def ragged(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[shift + np.arange(len(shift))]
 
 
-def read_block(uri: str) -> tuple[pa.RecordBatch, np.ndarray, pa.Array]:
-    """(doc_id, size), the units' places, and the units."""
-    import zstandard
+def distinct_units(lists: DataFrame) -> DataFrame:
+    """(unit, n): each unit of the packed lists once, with its part as n."""
 
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    data = fs.open_input_file(path).read()
-    at = np.r_[40, 40 + np.cumsum(np.frombuffer(data, "<i8", 5))].tolist()
-    head = pa.ipc.open_stream(data[at[0] : at[1]]).read_all().combine_chunks().to_batches()[0]
-    *columns, listed = (zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in pairwise(at[1:]))
-    number = np.frombuffer(columns[0], np.uint8).astype(np.int32)
-    for k in (1, 2):
-        number |= np.frombuffer(columns[k], np.uint8).astype(np.int32) << 8 * k
-    units = pa.ipc.open_stream(listed).read_all().combine_chunks().column(0).chunks
-    return head, number, units[0] if units else pa.array([], pa.string())
-
-
-def listed_units(blocks: DataFrame, folder: str, parts: int) -> DataFrame:
-    """(block, k, unit): the units of every block, from its file."""
+    def run(rows: pa.Table) -> pa.Table:
+        import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                units = read_block(f"{folder}/{name}")[2]
-                for lo in range(0, len(units), 50_000):
-                    part = units.slice(lo, 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part], ["block", "k", "unit"])
+        units: set[bytes] = set()
+        for x in rows.column("units").to_pylist():
+            units.update(zstandard.ZstdDecompressor().decompress(x).split(BETWEEN))
+        return pa.table({"unit": pa.array(list(units), pa.binary()).cast(pa.string()), "n": pa.array([rows.column("part")[0].as_py()] * len(units), pa.int64())})
 
-    return blocks.select("block").repartition(parts, "block").mapInArrow(run, "block long, k int, unit string")
+    return lists.groupBy("part").applyInArrow(run, "unit string, n long")
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -262,6 +323,21 @@ def merge_long(unit: str, scores: dict[str, tuple[float, int]], first_byte: int)
     return out
 
 
+def viterbi_long(unit: str, scores: dict[str, tuple[float, int]], first_byte: int, longest: int, unknown: float) -> list[int]:
+    """The same best path, for units too long for the bits of the fold."""
+    best: list[tuple[float, int, int]] = [(0.0, -1, -1)]
+    for j in range(1, len(unit) + 1):
+        known = [(best[i][0] - x[0], i, x[1]) for i in range(max(0, j - longest), j) if (x := scores.get(unit[i:j]))]
+        best.append(min(known) if known else (best[j - 1][0] + unknown, j - 1, -1))
+    out: list[list[int]] = []
+    j = len(unit)
+    while j:
+        _, i, piece = best[j]
+        out.append([piece] if piece >= 0 else [first_byte + x for x in unit[i:j].encode()])
+        j = i
+    return [x for part in reversed(out) for x in part]
+
+
 def fold(edges: DataFrame, kind: str, first_byte: int, unknown: float = 20.0) -> DataFrame:
     """(unit, n, edges) -> (unit, n, ids).  ``kind`` is "bpe" or "unigram"."""
     if kind == "bpe":
@@ -273,41 +349,65 @@ def fold(edges: DataFrame, kind: str, first_byte: int, unknown: float = 20.0) ->
     return masked.withColumn("chosen", F.expr(CHOSEN)).select("unit", "n", F.expr(IDS.format(first=first_byte)).alias("ids"))
 
 
-def encode_units(units: DataFrame, pieces: list[tuple[str, float, int]], first_byte: int, kind: str = "bpe") -> DataFrame:
-    """``units`` (unit, n) with distinct units -> (unit, n, ids)."""
+def encode_units(units: DataFrame, pieces: list[tuple[str, float, int]], first_byte: int, kind: str = "bpe", unknown: float = 20.0) -> DataFrame:
+    """``units`` (unit, n) with distinct units, none empty -> (unit, n, ids).  n is a number that stays with its unit."""
     spark = units.sparkSession
     model = spark.createDataFrame(pieces, "piece string, score double, id int")
     longest = max(len(p) for p, _, _ in pieces)
-    short = units.where(F.length("unit") <= LONG)
-    folded = fold(lattice(short, model, longest), kind, first_byte)
-    if kind != "bpe":
-        return folded
+    folded = fold(lattice(units.where(F.length("unit") <= LONG), model, longest), kind, first_byte, unknown)
     scores = {p: (s, i) for p, s, i in pieces}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, u in enumerate(batch.column(0).to_pylist()):
-                ids = pa.array([merge_long(u, scores, first_byte)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, ids], ["unit", "n", "ids"])
+                ids = merge_long(u, scores, first_byte) if kind == "bpe" else viterbi_long(u, scores, first_byte, longest, unknown)
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([ids], pa.list_(pa.int32()))], ["unit", "n", "ids"])
+
+    return folded.unionByName(units.where(F.length("unit") > LONG).select("unit", "n").mapInArrow(tidy(run), "unit string, n long, ids array<int>"))
 
-    return folded.unionByName(units.where(F.length("unit") > LONG).select("unit", "n").mapInArrow(run, "unit string, n long, ids array<int>"))
 
+def spelt(units: pa.Array, ids: pa.ListArray, names: dict[int, str], first_byte: int) -> np.ndarray:
+    """Whether the ids of each unit decode to it."""
+    flat = ids.values.to_numpy(zero_copy_only=False)[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
+    known = np.array([i in names for i in range(int(flat.max(initial=0)) + 1)], bool)
+    text = pa.array([names.get(i, "") for i in range(len(known))], pa.string()).take(pa.array(flat))
+    offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    same = pc.equal(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text), ""), units).to_numpy(zero_copy_only=False).astype(bool)
+    for k in np.flatnonzero(~same).tolist():  # some are bytes
+        same[k] = decode_bytes(flat[offsets[k] : offsets[k + 1]].tolist(), names, first_byte) == units[k].as_py().encode()
+    return same
 
-def packed(coded: DataFrame, pieces: list[tuple[str, float, int]], first_byte: int, kind_of_ids: str) -> DataFrame:
-    """(unit, n, ids) with the ids as little-endian integers, and whether they decode to the unit."""
+
+def answers(coded: DataFrame, lists: DataFrame, pieces: list[tuple[str, float, int]], first_byte: int) -> DataFrame:
+    """(block, part, ids) per packed list: for its units in order the numbers of ids, whether they decode to the unit, and the ids."""
     names = {i: p for p, _, i in pieces}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, same = batch.column(2).to_pylist(), []
-            for x, unit in zip(ids, batch.column(0).to_pylist(), strict=True):
-                try:
-                    same.append("".join([names[i] for i in x]) == unit)
-                except KeyError:  # some are bytes
-                    same.append(decode_bytes(x, names, first_byte).decode("utf-8", "replace") == unit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.array(x, kind_of_ids).tobytes() for x in ids], pa.binary()), pa.array(same, pa.bool_())], ["unit", "n", "ids", "same"])
+    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
+        import zstandard
+
+        out = []
+        if asked.num_rows:
+            ids, units = (known.column(c).combine_chunks() for c in ("ids", "unit"))
+            flat, starts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64)
+            same = spelt(units, ids, names, first_byte)
+            place = dict(zip(units.cast(pa.binary()).to_pylist(), range(len(units)), strict=True))
+            for x in asked.column("units").to_pylist():
+                own = zstandard.ZstdDecompressor().decompress(x).split(BETWEEN)
+                at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+                size = (starts[at + 1] - starts[at]).astype("<u4")
+                out.append(zstandard.ZstdCompressor(level=3).compress(np.array([len(at)], "<u4").tobytes() + size.tobytes() + same[at].tobytes() + ragged(flat, starts, at).astype("<u4").tobytes()))
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "ids": pa.array(out, pa.binary())})
 
-    return coded.mapInArrow(run, "unit string, n long, ids binary, same boolean")
+    return coded.groupBy("n").cogroup(lists.groupBy("part")).applyInArrow(run, "block long, part long, ids binary")
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of ids, whether they decode to the unit, ids."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, bool, n, 4 + 4 * n), np.frombuffer(data, "<u4", -1, 4 + 5 * n) if len(data) > 4 + 5 * n else np.zeros(0, "<u4")
 
 
 def decode_bytes(ids: list[int], pieces: dict[int, str], first_byte: int) -> bytes:
@@ -327,51 +427,47 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str, kind: str = "
     gives the text back.
     """
     pieces, first_byte = read_pieces(path)
-    folder = scratch.path()
+    folder, parts = scratch.path(), parts_for(docs)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = scratch.put(dictionary_blocks(texts, folder, joints_of(pieces)))
-    # A number of partitions that holds whatever the bytes: the fold's work goes by units, which are small.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = listed_units(blocks, folder, parts)
-    kind_of_ids = "<u2" if max(i for _, _, i in pieces) < 1 << 16 and first_byte + 255 < 1 << 16 else "<u4"
-    counted = each.select("unit").repartition(parts, "unit").groupBy("unit").agg(F.count("*").alias("n"))
-    coded = scratch.put(packed(encode_units(counted, pieces, first_byte, kind), pieces, first_byte, kind_of_ids))
+    lists = scratch.put(unit_blocks(texts, folder, joints_of(pieces), parts))
+    asked = lists.where("part >= 0")
+    units = scratch.put(distinct_units(asked))
+    scratch.sweep()
+    coded = scratch.put(encode_units(units.repartition(parts, "unit"), pieces, first_byte, kind))
     scratch.sweep()
-    # The units of most blocks, a bounded number of short strings, go to every task; the rest are joined.
-    common = coded.where((F.col("n") > 1) & (F.length("unit") <= LONG)).orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids", "same").toArrow()
-    known = dict(zip(common["unit"].to_pylist(), zip(common["ids"].to_pylist(), common["same"].to_pylist(), strict=True), strict=True))
-    spread = docs.sparkSession.createDataFrame(common.select(["unit"]))
-    del common
-    # Spark takes the lists for as small as the table of blocks that they come from, so it must be told to merge.
-    rare = each.join(F.broadcast(spread), "unit", "left_anti").hint("merge").join(coded.drop("n").hint("merge"), "unit").groupBy("block").agg(F.collect_list(F.struct("k", "ids", "same")).alias("units"))
-    told = blocks.select("block").join(rare.hint("merge"), "block", "left")
+    scratch.drop(units)
+    whole = lists.where("part < 0").select("block", "part", F.col("units").alias("ids")).unionByName(answers(coded, asked, pieces, first_byte))
+    told = whole.repartition(parts, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 head, number, listed = read_block(f"{folder}/{name}")
-                found = [known.get(u) for u in listed.to_pylist()]
-                if units.is_valid:
-                    fields = units.values
-                    for k, x, ok in zip(*(fields.field(f).to_pylist() for f in ("k", "ids", "same")), strict=True):
-                        found[k] = x, ok
-                ids, same = [x for x, _ in found], np.array([ok for _, ok in found], bool)
-                flat = np.frombuffer(b"".join(ids), kind_of_ids).astype("<u4")
-                starts = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // np.dtype(kind_of_ids).itemsize].astype(np.int64)
-                size = head.column(1).to_numpy()
-                ends = np.cumsum(size)
-                for lo in range(0, len(size), 200):
-                    rows = []
-                    for d in range(lo, min(lo + 200, len(size))):
-                        own = number[ends[d] - size[d] : ends[d]]
-                        found = ragged(flat, starts, own)
-                        rows.append((len(found), zlib.crc32(found.tobytes()), bool(same[own].all()), found if with_ids else None))
-                    columns = [head.column(0).slice(lo, len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows])]
+                found = [unpack(x) for x in own.values.field("ids").to_pylist()[1:]]
+                size, same, flat = (np.concatenate([np.zeros(0, t), *(f[k] for f in found)]) for k, t in enumerate((np.int64, bool, "<u4")))
+                # From the order of the lists to that of the numbers.
+                starts = np.r_[0, np.cumsum(size)]
+                order = np.empty(len(listed), np.int64)
+                order[listed] = np.arange(len(listed))
+                flat, size, same = ragged(flat, starts, order), size[order], same[order]
+                starts = np.r_[0, np.cumsum(size)]
+                sizes = head.column(1).to_numpy()
+                ends = np.cumsum(sizes)
+                for lo in range(0, len(sizes), 200):
+                    hi = min(lo + 200, len(sizes))
+                    some = number[ends[lo] - sizes[lo] : ends[hi - 1]]
+                    ids, good = ragged(flat, starts, some), np.r_[0, np.cumsum(~same[some])]
+                    bound = np.r_[0, ends[lo:hi] - ends[lo] + sizes[lo]]
+                    at = np.r_[0, np.cumsum(size[some])][bound]
+                    view = memoryview(ids).cast("B")
+                    crc = [zlib.crc32(view[4 * i : 4 * j]) for i, j in pairwise(at.tolist())]
+                    back = (np.diff(good[bound]) == 0) & ~head.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                    columns = [head.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(back)]
                     if with_ids:
-                        columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
+                        columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])])
 
-    return told.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else ""))
+    return told.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else ""))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
