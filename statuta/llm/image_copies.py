@@ -1,19 +1,25 @@
 """Cropped and edited copies of images by local descriptors (operator 10).
 
-An image becomes corners over four scales, ``POINTS`` / 2 at most in the first and half as many in each other.  Each has an
+An image becomes corners over a pyramid of scales, from its own size down to the
+smallest that has any; corners keep ``APART`` pixels of their scale between
+them, so their number follows the image's area, without a cap.  Each has an
 orientation (from the centroid of its surroundings) and 256 binary tests on the
-smoothed image, turned by it.  A query's descriptor is compared with every other
-by matrix products and matches all within ``BITS`` bits, none missed.  Matches vote
-for a rotation, scale and shift; images with at least ``INLIERS`` points that agree
-on one are copies.
+smoothed image, turned by it.
+
+Descriptors meet in 16 Hamming tables, each keyed by another 16 of the bits: those
+of the queries, in blocks of ``ASKED`` images, are joined by key with those of all
+images, and pairs within ``SEED`` bits are matches.  Matches that agree on a rotation,
+scale and shift fix it; then all of the query's corners are looked for where it
+puts them, within ``NEAR`` bits.  Images are copies if so many are found that chance
+would give less than ``FALSE`` such rows in the whole search: what is asked for
+grows with the number of pairs of images, not the number of false rows.
 
 Images with equal pixels are one class, so exact copies are compared once.  There
-is no limit on candidates; the price is a comparison of every pair of descriptors.
-The queries are taken in blocks of ``ASKED``, so what a task holds has a bound.
+is no limit on candidates.
 
 The tables at hand have no pictures.  The query draws each vector of
-``embeddings`` as a sum of 64 plane waves, and searches edited copies of every
-hundredth (cropped, turned, dimmed, noisy or resized) among all.
+``embeddings`` as a sum of plane waves, one a number, and searches edited copies of
+every hundredth (cropped, turned, dimmed, noisy or resized) among all.
 
 Defined cases: null, empty or unreadable images have no descriptors and no
 matches; images without corners too; repeated ids are matched each; other
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,13 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 
-POINTS, BITS, INLIERS = 64, 56, 3
-SCALES = (1.0, 0.87, 0.75, 0.65)
-PATCH, EDGE = 11, 16
-#: Query images that are sent to every task at once, and that are compared in one product.
-ASKED, TOGETHER = 4_096, 32
+#: Bits that a match may differ in, that a corner at its place may differ in, and the share of unlike corners that do no more (measured on noise and waves: 0.02).
+SEED, NEAR, UNLIKE = 32, 80, 0.05
+#: False rows to expect of one search.
+FALSE = 1e-4
+STEP, APART = 0.8, 4
+PATCH, EDGE = 11, 12
+#: The largest scale of a query and the step to the next: a query is described in more scales, so that one of them is near one of the image's.
+ASKED_FIRST, ASKED_STEP = 1.34, 0.89
+#: How far a corner may lie off, in pixels of its scale; differences of angles and of scales (as powers of 2).
+SHIFT, ANGLE, GROW = 3.0, 0.4, 0.35
+#: Query images that are sent to every task at once.
+ASKED = 2_048
 
 
 def read_image(data: bytes | None) -> np.ndarray | None:
@@ -163,7 +177,8 @@ def tests(images: int = 40) -> np.ndarray:
                 chosen.append(k)
                 worst = np.maximum(worst, alike[k])
                 if len(chosen) == 256:
-                    return candidates[chosen]
+                    # In no order: tests side by side make one key, and should not be alike.
+                    return candidates[rng.permutation(chosen)]
     return candidates[:256]
 
 
@@ -174,47 +189,44 @@ def noise(rng: np.random.Generator, size: int = 112, grain: int = 3) -> np.ndarr
     return np.clip(128 + 45 * x / float(x.std()), 0, 255).astype(np.float32)
 
 
-def describe_image(grey: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def highest(x: np.ndarray, reach: int) -> np.ndarray:
+    """The greatest value within ``reach`` rows and columns."""
+    for axis in (0, 1):
+        p = np.pad(x, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        x = np.lib.stride_tricks.sliding_window_view(p, 2 * reach + 1, axis=axis).max(-1)
+    return x
+
+
+def describe_image(grey: np.ndarray, pairs: np.ndarray, first: float = 1.0, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) per corner, in pixels of the image, and its 32 bytes."""
     points, codes = [], []
     ys, xs = np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1]
-    disc = np.hypot(ys, xs) <= PATCH
-    for scale in SCALES:
+    disc, scale = np.hypot(ys, xs) <= PATCH, first
+    while min(grey.shape) * scale > 2 * EDGE + 1:
         x = blur(resize(grey, scale) if scale != 1 else grey)
         h, w = x.shape
-        if min(h, w) <= 2 * EDGE:
-            continue
         gy, gx = np.gradient(x)
         a, b, c = blur(gx * gx, 2), blur(gy * gy, 2), blur(gx * gy, 2)
         harris = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = harris[EDGE : h - EDGE, EDGE : w - EDGE]
-        peak = np.ones(inner.shape, bool)
-        for dy in (-2, -1, 0, 1, 2):
-            for dx in (-2, -1, 0, 1, 2):
-                if dy or dx:
-                    other = harris[EDGE + dy : h - EDGE + dy, EDGE + dx : w - EDGE + dx]
-                    peak &= inner > other if (dy, dx) > (0, 0) else inner >= other
-        peak &= inner > 1e-4 * max(float(harris.max()), 1e-9)
-        py, px = np.nonzero(peak)
-        best = np.argsort(-inner[py, px], kind="stable")[: POINTS // 2 if scale == 1 else POINTS // 4]
-        py, px = py[best] + EDGE, px[best] + EDGE
-        if not len(py):
-            continue
-        patch = x[py[:, None, None] + ys, px[:, None, None] + xs] * disc
-        angle = np.arctan2((patch * ys).sum((1, 2)), (patch * xs).sum((1, 2)))
-        soft, cos, sin = blur(x, 2), np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        dy, dx = pairs[None, :, :, 0], pairs[None, :, :, 1]
-        ty = np.rint(py[:, None, None] + dy * cos + dx * sin).astype(int).clip(0, h - 1)
-        tx = np.rint(px[:, None, None] + dx * cos - dy * sin).astype(int).clip(0, w - 1)
-        v = soft[ty, tx]
-        codes.append(np.packbits(v[:, :, 0] < v[:, :, 1], axis=1))
-        points.append(np.stack([px / scale, py / scale, np.full(len(px), 1 / scale), angle], 1))
+        peak = (harris >= highest(harris, APART)) & (harris > 1e-4 * max(float(harris.max()), 1e-9))
+        py, px = (v + EDGE for v in np.nonzero(peak[EDGE : h - EDGE, EDGE : w - EDGE]))
+        if len(py):
+            patch = x[py[:, None, None] + ys, px[:, None, None] + xs] * disc
+            angle = np.arctan2((patch * ys).sum((1, 2)), (patch * xs).sum((1, 2)))
+            soft, cos, sin = blur(x, 2), np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            dy, dx = pairs[None, :, :, 0], pairs[None, :, :, 1]
+            ty = np.rint(py[:, None, None] + dy * cos + dx * sin).astype(int).clip(0, h - 1)
+            tx = np.rint(px[:, None, None] + dx * cos - dy * sin).astype(int).clip(0, w - 1)
+            v = soft[ty, tx]
+            codes.append(np.packbits(v[:, :, 0] < v[:, :, 1], axis=1))
+            points.append(np.stack([(px + 0.5) / scale - 0.5, (py + 0.5) / scale - 0.5, np.full(len(px), 1 / scale), angle], 1))
+        scale *= step
     if not points:
         return np.zeros((0, 4)), np.zeros((0, 32), np.uint8)
     return np.concatenate(points), np.concatenate(codes)
 
 
-def describe(images: DataFrame, image: str = "image", image_id: str = "image_id") -> DataFrame:
+def describe(images: DataFrame, image: str = "image", image_id: str = "image_id", first: float = 1.0, step: float = STEP) -> DataFrame:
     """(image_id, pixels, points, codes) per image with corners; pixels is a digest of the image's grey levels."""
     pairs = tests()
 
@@ -225,7 +237,7 @@ def describe(images: DataFrame, image: str = "image", image_id: str = "image_id"
                 for row, data in enumerate(batch.column(1)):
                     if (grey := read_image(data.as_py())) is None:
                         continue
-                    points, codes = describe_image(grey, pairs)
+                    points, codes = describe_image(grey, pairs, first, step)
                     if not len(points):
                         continue
                     rows.append(row)
@@ -236,7 +248,7 @@ def describe(images: DataFrame, image: str = "image", image_id: str = "image_id"
                 yield pa.RecordBatch.from_arrays(columns, ["image_id", "pixels", "points", "codes"])
 
     kind = "image_id long, pixels string, points binary, codes binary"
-    return images.select(F.col(image_id).cast("long").alias("image_id"), F.col(image).cast("binary").alias("image")).mapInArrow(run, kind)
+    return images.select(F.col(image_id).cast("long").alias("image_id"), F.col(image).cast("binary").alias("image")).mapInArrow(tidy(run), kind)
 
 
 @dataclass
@@ -252,28 +264,60 @@ class Described:
         sizes = [len(c) // 32 for c in codes]
         return cls(np.frombuffer(b"".join(points), "<f4").reshape(-1, 4), np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 32), np.r_[0, np.cumsum(sizes, dtype=np.int64)])
 
-    def signs(self, lo: int, hi: int) -> np.ndarray:
-        """The bits of images lo to hi as 1 and -1: a product of two is 256 less twice the bits that differ."""
-        return np.unpackbits(self.codes[self.first[lo] : self.first[hi]], axis=1).astype(np.float32) * 2 - 1
-
-
-def agreeing(asked: Described, known: Described, bits: int, inliers: int) -> Iterator[tuple[int, int, int]]:
-    """(query, image, points that agree) of all pairs of images with enough points that do."""
-    stored = known.signs(0, len(known.first) - 1).T
-    image = np.repeat(np.arange(len(known.first) - 1), np.diff(known.first))
-    n_asked = len(asked.first) - 1
-    query = np.repeat(np.arange(n_asked), np.diff(asked.first))
-    for lo in range(0, n_asked, TOGETHER):
-        a, b = np.nonzero(asked.signs(lo, min(lo + TOGETHER, n_asked)) @ stored >= 256 - 2 * bits)
-        a += asked.first[lo]
-        pair = query[a] * len(known.first) + image[b]
-        order = np.argsort(pair, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0, True]) if len(pair) else np.zeros(1, np.int64)
-        for k in np.flatnonzero(np.diff(edges) >= inliers):
-            own = order[edges[k] : edges[k + 1]]
-            n = consensus(np.concatenate([asked.points[a[own]], known.points[b[own]]], axis=1).astype(np.float64))
-            if n >= inliers:
-                yield int(query[a[own[0]]]), int(image[b[own[0]]]), n
+    @property
+    def image(self) -> np.ndarray:
+        """The image of each point."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def own(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.first[k], self.first[k + 1])
+        return self.points[at].astype(np.float64), self.codes[at]
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits in which codes differ; leading axes as they broadcast."""
+    a, b = (np.ascontiguousarray(v).view(np.uint64) for v in (a, b))
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+class HammingTables:
+    """16 tables of codes, each by another 16 bits: two codes within ``bits`` meet if they share one of these keys."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, keys = codes, np.ascontiguousarray(codes).view("<u2")
+        self.order = [np.argsort(keys[:, t], kind="stable").astype(np.int32) for t in range(keys.shape[1])]
+        self.starts = [np.searchsorted(keys[o, t], np.arange((1 << 16) + 1)).astype(np.int32) for t, o in enumerate(self.order)]
+
+    def join(self, codes: np.ndarray, bits: int, most: int = 1 << 20) -> np.ndarray:
+        """(row of the tables, row of ``codes``) of all pairs that meet and differ in no more than ``bits``, each once."""
+        keys, found = np.ascontiguousarray(codes).view("<u2"), [np.zeros(0, np.int64)]
+        for t, (order, starts) in enumerate(zip(self.order, self.starts, strict=True)):
+            first, n = starts[keys[:, t]].astype(np.int64), np.diff(starts)[keys[:, t]].astype(np.int64)
+            total = np.r_[0, np.cumsum(n)]
+            lo = 0
+            while lo < len(n):  # in parts of about ``most`` pairs
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+                b = np.repeat(np.arange(lo, hi), n[lo:hi])
+                a = order[np.arange(total[hi] - total[lo]) + np.repeat(first[lo:hi] - (total[lo:hi] - total[lo]), n[lo:hi])]
+                near = differing(self.codes[a], codes[b]) <= bits
+                found.append(a[near].astype(np.int64) * len(codes) + b[near])
+                lo = hi
+        both = np.unique(np.concatenate(found))
+        return np.stack(np.divmod(both, max(1, len(codes))), 1)
+
+
+def agreeing(asked: Described, tables: HammingTables, known: Described, searched: float, bits: int = SEED) -> Iterator[tuple[int, int, int]]:
+    """(query, image, corners found) of all pairs of images that are copies; ``searched`` is the number of pairs in the whole search."""
+    pairs = tables.join(known.codes, bits)
+    query, image = asked.image[pairs[:, 0]], known.image[pairs[:, 1]]
+    pair = query * max(1, len(known.first) - 1) + image
+    order = np.argsort(pair, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0, True]) if len(pair) else np.zeros(1, np.int64)
+    for k in np.flatnonzero(np.diff(edges) >= 2):
+        own = order[edges[k] : edges[k + 1]]
+        q, i = int(query[own[0]]), int(image[own[0]])
+        if n := found_corners(*asked.own(q), *known.own(i), asked.points[pairs[own, 0]].astype(np.float64), known.points[pairs[own, 1]].astype(np.float64), searched):
+            yield q, i, n
 
 
 def query_blocks(asked: DataFrame, size: int = ASKED) -> Iterator[list]:
@@ -288,55 +332,109 @@ def query_blocks(asked: DataFrame, size: int = ASKED) -> Iterator[list]:
         yield block
 
 
-def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: int = BITS, inliers: int = INLIERS) -> DataFrame:
+def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: int = SEED) -> DataFrame:
     """(query_id, match_id, n_copies, inliers): for each query image the classes of images that hold a copy of it.
 
-    match_id is the least id among images with those pixels, n_copies their number.
+    match_id is the least id among images with those pixels, n_copies their number, inliers the corners found.
     """
     stored = scratch.put(describe(images))
-    asked = scratch.put(describe(queries))
-    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = scratch.put(describe(queries, first=ASKED_FIRST, step=ASKED_STEP))
     ids = stored.groupBy("pixels").agg(F.min("image_id").alias("match_id"), F.countDistinct("image_id").alias("n_copies"))
     # Images with equal pixels have the same points.
-    known = scratch.put(stored.groupBy("pixels").agg(F.first("points").alias("points"), F.first("codes").alias("codes")).repartition(parts))
+    known = scratch.put(stored.groupBy("pixels").agg(F.first("points").alias("points"), F.first("codes").alias("codes")))
+    n_known, searched = known.count(), float(max(1, asked.count()))
+    searched *= max(1, n_known)
+    known = known.repartition(tasks_for(known, n_known))
     kind = "query_id long, pixels string, inliers long"
     found = stored.sparkSession.createDataFrame([], kind)
     for block in query_blocks(asked):
         numbers, wanted = [r["image_id"] for r in block], Described.of([bytes(r["points"]) for r in block], [bytes(r["codes"]) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], numbers: list = numbers, wanted: Described = wanted) -> Iterator[pa.RecordBatch]:
+            tables = None
             for big in batches:
                 for batch in (big.slice(k, 64) for k in range(0, big.num_rows, 64)):
-                    pairs = list(agreeing(wanted, Described.of(batch.column(1).to_pylist(), batch.column(2).to_pylist()), bits, inliers))
+                    tables = tables or HammingTables(wanted.codes)
+                    pairs = list(agreeing(wanted, tables, Described.of(batch.column(1).to_pylist(), batch.column(2).to_pylist()), searched, bits))
                     pixels = batch.column(0).take(pa.array([k for _, k, _ in pairs], pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array([numbers[q] for q, _, _ in pairs], pa.int64()), pixels, pa.array([n for *_, n in pairs], pa.int64())], ["query_id", "pixels", "inliers"])
 
-        found = found.unionByName(scratch.put(known.mapInArrow(run, kind)))
+        found = found.unionByName(scratch.put(known.mapInArrow(tidy(run), kind)))
     best = found.groupBy("query_id", "pixels").agg(F.max("inliers").alias("inliers"))
     return best.join(ids, "pixels").select("query_id", "match_id", "n_copies", "inliers")
 
 
-def consensus(m: np.ndarray, angle: float = 0.4, ratio: float = 0.35, shift: float = 3.0) -> int:
-    """The most points, on either side, that agree on one rotation, scale and shift.
+def tasks_for(rows: DataFrame, n: int, each: int = 1_000) -> int:
+    """Tasks of about ``each`` images: work on them goes by their number, which bytes don't tell."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
 
-    ``m`` has a row (x, y, scale, angle of the query's point, then of the image's) per match.  Each match in
-    turn is the hypothesis; the others must have its turn and scale about, and land where it puts them.  Points that are not farther apart
-    than ``shift`` (in the query's pixels) are one corner in several scales and count once.
+
+def seeds_agreeing(q: np.ndarray, i: np.ndarray, together: int = 64) -> np.ndarray:
+    """Which matches (rows x, y, scale, angle on both sides) agree on the transform that most agree on.
+
+    Each match in turn is the hypothesis; the others must have its turn and scale about, and land where it puts them.
+    A hypothesis that half of the matches agree on ends the search.
     """
-    turn, grow = m[:, 7] - m[:, 3], np.log2(m[:, 6] / m[:, 2])
-    best = 0
-    for k in range(len(m)):
+    turn, grow = i[:, 3] - q[:, 3], np.log2(i[:, 2] / q[:, 2])
+    x, y = q[:, :2] @ (1, 1j), i[:, :2] @ (1, 1j)
+    best = np.zeros(len(q), bool)
+    for lo in range(0, len(q), together):
+        k = np.arange(lo, min(lo + together, len(q)))[:, None]
         off = np.abs((turn - turn[k] + np.pi) % (2 * np.pi) - np.pi)
-        fit = (off < angle) & (np.abs(grow - grow[k]) < ratio)
-        if fit.sum() <= best:
-            continue
-        s, c = np.sin(turn[k]) * 2 ** grow[k], np.cos(turn[k]) * 2 ** grow[k]
-        dx, dy = m[:, 0] - m[k, 0], m[:, 1] - m[k, 1]
-        away = np.hypot(m[:, 4] - m[k, 4] - (c * dx - s * dy), m[:, 5] - m[k, 5] - (s * dx + c * dy))
-        # The turn of one point is rough, so what it predicts far away may be further off.
-        fit &= away < shift + 0.04 * np.hypot(dx, dy)
-        if fit.sum() > best:
-            best = max(best, min(places(m[fit, 0:2], shift), places(m[fit, 4:6], shift * 2 ** grow[k])))
+        step = x - x[k]
+        away = np.abs(y - y[k] - 2 ** grow[k] * np.exp(1j * turn[k]) * step)
+        # The turn and scale of one point are rough, so what they predict far away may be further off.
+        fit = (off < ANGLE) & (np.abs(grow - grow[k]) < GROW) & (away < SHIFT * i[:, 2] + 0.15 * 2 ** grow[k] * np.abs(step))
+        n = fit.sum(1)
+        if n.max() > best.sum():
+            best = fit[n.argmax()]
+            if 2 * best.sum() >= len(q):
+                break
+    return best
+
+
+def chance(m: int, k: int, p: float) -> float:
+    """log10 of the probability of k or more of m, bounded from above."""
+    if k <= 0 or p * m >= k:
+        return 0.0
+    return (math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + max(0.0, -math.log1p(-min(0.99, p * m / k)))) / math.log(10)
+
+
+def found_corners(pq: np.ndarray, cq: np.ndarray, pi: np.ndarray, ci: np.ndarray, sq: np.ndarray, si: np.ndarray, searched: float) -> int:
+    """The number of corners of the query found where a transform puts them, or 0 where chance explains it.
+
+    ``sq`` and ``si`` are the matches' points on both sides.
+    """
+    fit = seeds_agreeing(sq, si)
+    x, y = sq[fit, :2] @ (1, 1j), si[fit, :2] @ (1, 1j)
+    best = 0
+    for _ in range(3):
+        spread = x - x.mean()
+        if len(x) < 2 or (weight := float((np.abs(spread) ** 2).sum())) < 4:
+            break
+        alpha = (np.conj(spread) * (y - y.mean())).sum() / weight
+        if not 0.1 < abs(alpha) < 10:
+            break
+        put = alpha * (pq[:, :2] @ (1, 1j) - x.mean()) + y.mean()
+        away = np.abs(put[:, None] - (pi[:, :2] @ (1, 1j))[None])
+        scale, turn = pq[:, 2] * abs(alpha), np.angle(alpha)
+        off = np.abs((pi[None, :, 3] - pq[:, None, 3] - turn + np.pi) % (2 * np.pi) - np.pi)
+        a, b = np.nonzero((away < SHIFT * pi[None, :, 2]) & (off < ANGLE) & (np.abs(np.log2(pi[None, :, 2] / scale[:, None])) < GROW))
+        near = differing(cq[a], ci[b]) <= NEAR
+        a, b = a[near], b[near]
+        if not len(a):
+            break
+        # Trials: places of the query whose image could hold a corner.  What chance gives each: corners about there, of that turn and scale, by the share of unlike ones.
+        lo, hi = pi[:, :2].min(0), pi[:, :2].max(0)
+        inside = (put.real > lo[0] - 2) & (put.real < hi[0] + 2) & (put.imag > lo[1] - 2) & (put.imag < hi[1] + 2)
+        grain = SHIFT / abs(alpha)
+        m, k = places(pq[inside, :2], grain), min(places(pq[np.unique(a), :2], grain), places(pi[np.unique(b), :2], SHIFT))
+        area = max(1.0, float(np.prod(hi - lo)))
+        p = min(0.5, float((np.pi * (SHIFT * pi[:, 2]) ** 2).sum()) / area * (2 * ANGLE / (2 * np.pi)) * 0.6 * UNLIKE)
+        # The transform was fitted to two of the corners, and each match could have been its start.
+        if math.log10(searched * len(sq)) + chance(max(m, k) - 2, k - 2, p) < math.log10(FALSE):
+            best = max(best, k)
+        x, y = pq[a, :2] @ (1, 1j), pi[b, :2] @ (1, 1j)
     return best
 
 
@@ -349,18 +447,18 @@ def places(points: np.ndarray, apart: float) -> int:
     return len(kept)
 
 
-def waves(size: int = 112, seed: int = 64) -> np.ndarray:
-    """64 pictures of plane waves of fixed random directions, lengths and phases, flattened."""
+@functools.cache
+def waves(numbers: int, size: int = 112, seed: int = 64) -> np.ndarray:
+    """Pictures of plane waves of fixed random directions, lengths and phases, flattened; one for each number of a vector."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    turn, cycles, phase = rng.uniform(0, np.pi, 64), rng.uniform(3, 14, 64), rng.uniform(0, 2 * np.pi, 64)
+    turn, cycles, phase = (rng.uniform(lo, hi, numbers) for lo, hi in ((0, np.pi), (3, 14), (0, 2 * np.pi)))
     y, x = np.mgrid[:size, :size] / size
-    return np.stack([np.cos(2 * np.pi * c * (x * np.cos(t) + y * np.sin(t)) + p) for t, c, p in zip(turn, cycles, phase, strict=True)]).reshape(64, -1).astype(np.float32)
+    return np.stack([np.cos(2 * np.pi * c * (x * np.cos(t) + y * np.sin(t)) + p) for t, c, p in zip(turn, cycles, phase, strict=True)]).reshape(numbers, -1).astype(np.float32)
 
 
-def picture(vector: list[float], pictures: np.ndarray) -> np.ndarray:
+def picture(vector: list[float]) -> np.ndarray:
     """The sum of the waves, weighted by the numbers of a vector, as grey levels."""
-    v = np.zeros(64, np.float32)
-    v[: min(64, len(vector))] = np.nan_to_num(np.array(vector[:64], np.float32))
+    v, pictures = np.nan_to_num(np.array(vector, np.float32)), waves(len(vector))
     size = round(pictures.shape[1] ** 0.5)
     return np.clip(128 + 64 * (v / max(1e-9, float(np.linalg.norm(v)))) @ pictures, 0, 255).reshape(size, size)
 
@@ -385,22 +483,23 @@ def draw(vectors: DataFrame, edit: bool = False) -> DataFrame:
     """``vectors`` (vec_id, embedding) -> (image_id, image)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pictures = waves()
         for big in batches:
             for batch in (big.slice(k, 200) for k in range(0, big.num_rows, 200)):
                 images = []
                 for number, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    grey = None if not v or number is None else picture([x or 0.0 for x in v], pictures)
+                    grey = None if not v or number is None else picture([x or 0.0 for x in v])
                     images.append(None if grey is None else write_image(edited(grey, number // 100) if edit else grey))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["image_id", "image"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "image_id long, image binary")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(tidy(run), "image_id long, image binary")
 
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 100 = 0")
+    vectors, asked = (v.repartition(tasks_for(v, v.count())) for v in (vectors, asked))
     with Scratch(spark, "images") as scratch:
-        return scratch.keep(find_copies(draw(vectors.where("vec_id % 100 = 0"), edit=True), draw(vectors), scratch))
+        return scratch.keep(find_copies(draw(asked, edit=True), draw(vectors), scratch))
 
 
 QUERIES = {"op10_image_copies": op10_image_copies}
