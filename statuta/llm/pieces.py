@@ -157,7 +157,7 @@ class Block:
 
 def unit_parts(units: pa.StringArray, parts: int) -> np.ndarray:
     """The hash part of each unit."""
-    return np.fromiter(map(zlib.crc32, units.cast(pa.binary()).to_pylist()), np.int64, len(units)) % parts
+    return np.fromiter(map(zlib.crc32, units.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(units)) % parts
 
 
 def planes(number: np.ndarray) -> list[bytes]:
@@ -197,7 +197,7 @@ def unit_blocks(docs: DataFrame, folder: str, joints: set[str], parts: int, char
             with fs.open_output_stream(f"{place}/{name}") as f:
                 f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed))
             edges = np.flatnonzero(np.r_[True, np.diff(part[listed]) != 0, True]) if len(listed) else np.zeros(1, np.int64)
-            own = units.cast(pa.binary()).take(pa.array(listed)).to_pylist()
+            own = units.cast(pa.binary()).take(pa.array(listed)).to_numpy(zero_copy_only=False).tolist()
             lists = [press(BETWEEN.join(own[i:j])) for i, j in pairwise(edges.tolist())]
             asked = [-1, *part[listed][edges[:-1]].tolist()]
             return pa.RecordBatch.from_pydict({"block": pa.array([name] * len(asked), pa.int64()), "part": pa.array(asked, pa.int64()), "units": pa.array([b"", *lists], pa.binary())})
@@ -390,7 +390,7 @@ def answers(coded: DataFrame, lists: DataFrame, pieces: list[tuple[str, float, i
             ids, units = (known.column(c).combine_chunks() for c in ("ids", "unit"))
             flat, starts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64)
             same = spelt(units, ids, names, first_byte)
-            place = dict(zip(units.cast(pa.binary()).to_pylist(), range(len(units)), strict=True))
+            place = dict(zip(units.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), range(len(units)), strict=True))
             for x in asked.column("units").to_pylist():
                 own = zstandard.ZstdDecompressor().decompress(x).split(BETWEEN)
                 at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
