@@ -3,16 +3,20 @@
 Two detectors.  The base finds plain e-mail addresses, IP addresses, payment
 cards and phone numbers by pattern and checks.  The method is a character-level
 bidirectional LSTM with CRF transitions, trained in numpy from labelled spans; it
-reads every character of every text in overlapping windows, and its spans are
-put together over the whole text.  It adds spans that the base misses (spelt-out
-addresses, unusual separators, national phone numbers); each must also have a
-valid form, and none may overlap a base span, so base spans always stay.
+reads every character of every text in overlapping windows, whose emissions are
+put together and decoded over the whole text.  It adds spans that the base misses
+(spelt-out addresses, unusual separators, national phone numbers).  Their bounds
+are the decoder's, moved to the ends of words; what they hold must be valid data
+of its kind once marks are written plainly, and none may overlap a base span, so
+base spans always stay.
 
 The labelled spans are base spans in a sample of at most ``SAMPLE`` documents,
-drawn by a hash of doc_id, and spans of varied forms set into pieces of them.
+drawn by a hash of doc_id, of each a stretch of ``STRETCH`` characters from
+anywhere in it, and spans of varied forms set into pieces of them.
 
 Defined cases: null or empty texts have no spans; rows that share a doc_id are
-searched each; null ids are kept; other columns are ignored.
+searched each, and the greatest of their texts is drawn; null ids are kept; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 from .tagger import Tagger, class_table, classes_of, train
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, WINDOWS, WIDTH = 400, 2400, 96
+SAMPLE, STRETCH, WINDOWS, WIDTH = 400, 4_000, 2400, 96
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits that fails from its first digit fails from every other, so only the first is tried.
@@ -77,51 +81,91 @@ def find_base(text: str) -> list[Span]:
     return out
 
 
-#: Forms that a span of the method must have, and checks on them.  All have bounds, so no junk makes a search long.
+#: How marks of addresses may be written, and letters that may stand within a number of a kind.
+AT, DOT = re.compile(r"\s*[\[({<]\s*(?:@|at)\s*[\])}>]\s*|\s*@\s*|\s+at\s+", re.I), re.compile(r"\s*[\[({<]\s*(?:\.|dot)\s*[\])}>]\s*|\s*\.\s*|\s+dot\s+", re.I)
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
+#: A whole address around a run that the decoder found; it has bounds, so no junk makes the search long.
 _OPEN, _SHUT = r"\s{0,2}[\[({<]?\s?", r"\s?[\])}>]?\s{0,2}"
-_AT, _DOT = rf"{_OPEN}(?:@|\bat\b|\bAT\b){_SHUT}", rf"{_OPEN}(?:\.|\bdot\b|\bDOT\b){_SHUT}"
-#: A dot that no end of a sentence looks like; behind it any ending counts, behind others only common ones.
+_AT = rf"{_OPEN}(?:@|\bat\b|\bAT\b){_SHUT}"
 _SURE = r"(?:\.|\s{0,2}[\[({<]\s?(?:\.|dot|DOT)\s?[\])}>]\s{0,2}|\s{1,2}(?:dot|DOT)\s{1,2})"
 _PART = "[A-Za-z0-9-]{1,63}"
-FORMS = {
-    "email": re.compile(
-        rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{_AT}(?:{_PART}(?:{_SURE}{_PART}){{0,8}}{_SURE}[A-Za-z]{{2,24}}\b"
-        rf"|{_PART}(?:{_DOT}{_PART}){{0,8}}{_DOT}(?:com|org|net|edu|gov|io|info|de|fr|es|uk|example)\b)"
-    ),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[({]?\s?(?:\.|dot)\s?[\])}]?\s?[0-9]{1,3}){3}(?!\.?[0-9])"),
-    "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])"),
-    # Three groups; two, behind a country's or a trunk prefix; pairs of digits.
-    "phone": re.compile(
-        r"(?<![0-9+(])(?:(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{2,4}\)[ ./-]?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"
-        r"|(?:(?:\+|00)[0-9]{1,3}[ ./-]?(?:\([0-9]{1,5}\)[ ./-]?|[0-9]{2,5}[ ./-])|\(0[0-9]{1,4}\)[ ./-]?|0[0-9]{1,4}[ ./-])[0-9]{5,8}(?![0-9])"
-        r"|(?:(?:\+|00)[0-9]{1,3}[ ./-]?(?:\(0\)[ ./-]?)?|0)[0-9](?:[ ./-][0-9]{2}){4}(?![ ./-]?[0-9]{2}(?![0-9])|[0-9]))"
-    ),
-}
+WHOLE_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{_AT}{_PART}(?:{_SURE}{_PART}){{0,8}}{_SURE}[A-Za-z]{{2,24}}\b")
+DIGITS = frozenset("0123456789")
+CARD_MARKS, PHONE_MARKS = frozenset(" -./_"), frozenset(" -./()+")
+OPENS = {")": "(", "]": "[", "}": "{", ">": "<"}
 
 
 def valid(kind: str, found: str) -> bool:
+    """Whether a text is data of a kind once its marks are written plainly."""
     digits = re.sub(r"[^0-9]", "", found)
     if kind == "email":
-        # Words alone need both marks spelt out in brackets, or the sign itself.
-        return "@" in found or bool(re.search(r"[\[({<]\s?(?:at|AT)\s?[\])}>]", found)) or bool(re.search(r"\bat\b.*\bdot\b|\bAT\b.*\bDOT\b", found))
+        # Words alone need both marks spelt out or in brackets, or the sign itself.
+        sure = "@" in found or re.search(r"[\[({<]\s*at\s*[\])}>]", found, re.I) or re.search(r"\bat\b.*(?:\bdot\b|[\[({<]\s*\.)", found, re.I)
+        return bool(sure) and PLAIN_EMAIL.fullmatch(DOT.sub(".", AT.sub("@", found))) is not None
     if kind == "ip":
-        return all(map(small, re.findall(r"[0-9]+", found)))
+        parts = DOT.sub(".", found).split(".")
+        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and small(p) for p in parts)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2
-    return 9 <= len(digits) <= 15
+        return CARD_MARKS.issuperset(re.sub("[0-9]", "", found)) and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2
+    # Numbers without a country or trunk prefix need three groups or brackets; dates and long runs of groups are none.
+    groups = re.findall("[0-9]+", found)
+    known = found[0] in "+(" or groups[0][0] == "0" or len(groups) >= 3 if groups else False
+    return known and PHONE_MARKS.issuperset(re.sub("[0-9]", "", found)) and 9 <= len(digits) <= 15 and len(groups) <= 6 and (len(groups) > 1 or found[0] == "+")
+
+
+def settled(text: str, i: int, j: int, inside: frozenset[str]) -> tuple[int, int]:
+    """A run moved to the beginning of a word and to the end of one, with the bracket that belongs to it."""
+    while i < j and text[i] not in inside and text[i] not in "+(":
+        i += 1
+    while 0 < i < j and text[i - 1] in inside and text[i] in inside:
+        i -= 1
+    while j > i and not text[j - 1].isalnum():
+        j -= 1
+    while i < j < len(text) and text[j].isalnum():
+        j += 1
+    if i and text[i - 1] in "+(" and text[i : i + 1].isdigit():
+        i -= 1
+    while i < j and inside is LOCAL and text[i] in "._%+-(":
+        i += 1
+    if j < len(text) and text[j] in OPENS and text.count(OPENS[text[j]], i, j) > text.count(text[j], i, j):
+        j += 1
+    return i, j
+
+
+def widened(text: str, i: int, j: int) -> tuple[int, int]:
+    """A number's bounds with the groups of digits that follow each other beside it."""
+    while i > 1 and (text[i - 1].isdigit() or text[i - 1] in "-./ " and text[i - 2].isdigit() or text[i - 1] in "+("):
+        i -= 1
+    while j + 1 < len(text) and (text[j].isdigit() or text[j] in "-./ " and text[j + 1].isdigit()):
+        j += 1
+    return i, j + (j + 1 == len(text) and text[j].isdigit())
+
+
+def cut_off(text: str, i: int, j: int) -> bool:
+    """Whether a number goes on beyond its bounds."""
+    before, after = text[max(0, i - 2) : i], text[j : j + 2]
+    return before[-1:].isalnum() or after[:1].isalnum() or len(before) == 2 and before[1] in "-./" and before[0].isdigit() or len(after) == 2 and after[0] in "-./" and after[1].isdigit()
 
 
 def confirm(text: str, runs: list[tuple[int, int, int]], base: list[Span]) -> list[Span]:
-    """The spans that tagged runs stand for, in their exact form."""
+    """The spans that decoded runs stand for: within the decoder's bounds, or in those of the whole number or address that it touched.
+
+    A number that is not valid as what the decoder took it for may be as another kind.
+    """
     out: list[Span] = []
     for tag, i, j in runs:
-        kind = KINDS[tag - 1]
-        lo, hi = max(0, i - 24), min(len(text), j + 24)
-        for m in FORMS[kind].finditer(text, lo, hi):
-            s, e = m.span()
-            inside = min(e, j) - max(s, i)
-            if inside > 0 and 2 * inside >= e - s and valid(kind, m[0]) and all(e <= a or s >= b for _, a, b in [*base, *out]):
+        options: list[Span] = []
+        if KINDS[tag - 1] == "email":
+            found = (m.span() for m in WHOLE_EMAIL.finditer(text, max(0, i - 64), min(len(text), j + 64)))
+            options += [("email", s, e) for s, e in found if 4 * (min(e, j) - max(s, i)) >= e - s]
+            options.append(("email", *settled(text, i, j, LOCAL)))
+        own = settled(text, i, j, DIGITS)
+        kinds = sorted(KINDS[1:], key=lambda k: k != KINDS[tag - 1])
+        options += [(k, s, e) for s, e in (own, widened(text, *own)) if s < e and not cut_off(text, s, e) for k in kinds]
+        for kind, s, e in options:
+            if s < e and all(e <= a or s >= b for _, a, b in [*base, *out]) and valid(kind, text[s:e]):
                 out.append((kind, s, e))
+                break
     return out
 
 
@@ -187,13 +231,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     """``docs`` (doc_id, text).  The sample is drawn by ids alone, so only its own texts are read to the end."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # A training window is short, so of each sampled text a stretch is enough; it may lie anywhere in the text.
-    stretch = F.expr("substring(text, 1 + cast(pmod(xxhash64(doc_id, 1), greatest(length(text) - 4000, 1)) AS int), 4000)")
-    rows = docs.join(ids, "doc_id", "left_semi").where("text is not null").select("doc_id", stretch.alias("t")).orderBy("doc_id", "t").collect()
+    stretch = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, 1), greatest(length(text) - {STRETCH}, 1)) AS int), {STRETCH})")
+    rows = docs.join(ids, "doc_id", "left_semi").where("text is not null").groupBy("doc_id").agg(F.max(stretch).alias("t")).orderBy("doc_id").collect()
     return train(*training_windows([r["t"] for r in rows]), tags=len(KINDS) + 1)
 
 
 def find_personal_data(docs: DataFrame, model: Tagger, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, counts of base spans, base_sha256, spans) per row, without a shuffle."""
+    """(doc_id, counts of base spans, base_sha256, spans, n_spans) per row, without a shuffle; n_spans is the number of all spans."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +249,12 @@ def find_personal_data(docs: DataFrame, model: Tagger, text: str = "text", doc_i
                 for t, runs in zip(own, model.tag([classes_of(t, classes) for t in own]), strict=True):
                     base = find_base(t)
                     counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                    rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed([*base, *confirm(t, runs, base)])))
-                columns = [pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.string()) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                    more = confirm(t, runs, base)
+                    rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed([*base, *more]), len(base) + len(more)))
+                columns = [pa.array([r[k] for r in rows], pa.string() if k in (4, 5) else pa.int64()) for k in range(7)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    def parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    def parts(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
         """Slices of about ``most`` bytes of text."""
         size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)], np.int64)
         part = np.cumsum(size) // most
@@ -217,7 +262,7 @@ def find_personal_data(docs: DataFrame, model: Tagger, text: str = "text", doc_i
             rows = np.flatnonzero(part == k)
             yield batch.slice(int(rows[0]), len(rows))
 
-    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

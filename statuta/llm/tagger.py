@@ -1,8 +1,9 @@
 """A character-level bidirectional LSTM with a CRF on top, in numpy: training, and fast tagging of long texts.
 
 The gates of a direction are ``table[class] + h @ u``: the input's projection is
-looked up, not multiplied.  Rows of the i, f and o gates are halved, so that one
-tanh over all gates gives their sigmoids too.
+looked up, not multiplied.  In place of tanh stands a rational function of like
+shape that reaches 1 at 3; a sigmoid is half of it plus a half, so one pass over
+all gates gives the sigmoids too.
 """
 
 from __future__ import annotations
@@ -58,107 +59,147 @@ class Tagger:
         return 2 * max(0.0, float((self.move - self.move[0, 0]).max()))
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """``x`` steps x windows -> steps x windows x tags."""
+        """``x`` steps x windows -> steps x tags x windows."""
         steps, n = x.shape
-        size, tags = self.u[0].shape[0], len(self.bias)
-        em = np.empty((steps, n, tags), np.float32)
-        em[:] = self.bias
+        size, x = self.u[0].shape[0], x.astype(np.intp)
+        em = np.empty((steps, len(self.bias), n), np.float32)
+        em[:] = self.bias[None, :, None]
+        seen = np.empty((steps, size, n), np.float32)
+        z, more, room = (np.empty((4 * size, n), np.float32) for _ in range(3))
+        gate, (i, f, o, g) = z[: 3 * size], (z[k * size : (k + 1) * size] for k in range(4))
         for d, order in enumerate((range(steps), range(steps - 1, -1, -1))):
-            table, u, out = (a[d].astype(np.float32) for a in (self.table, self.u, self.out))
-            h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-            z, zu, e = np.empty((n, 4 * size), np.float32), np.empty((n, 4 * size), np.float32), np.empty((n, tags), np.float32)
+            table, u, out = (np.ascontiguousarray(a[d].T, np.float32) for a in (self.table, self.u, self.out))
+            h, c = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32)
             for t in order:
-                np.take(table, x[t], axis=0, out=z, mode="clip")
-                np.dot(h, u, out=zu)
-                z += zu
-                np.tanh(z, out=z)
-                gate = z[:, : 3 * size]
+                np.take(table, x[t], axis=1, out=z, mode="clip")
+                np.dot(u, h, out=more)
+                z += more
+                squash(z, more, room)
                 gate += 1
-                c *= z[:, size : 2 * size]
-                c += z[:, :size] * z[:, 3 * size :]
+                c *= f
+                i *= g
+                c += i
                 c *= 0.5
-                np.tanh(c, out=h)
-                h *= z[:, 2 * size : 3 * size]
+                h = seen[t]
+                np.copyto(h, c)
+                squash(h, more[:size], room[:size])
+                h *= o
                 h *= 0.5
-                np.dot(h, out, out=e)
-                em[t] += e
+            em += np.matmul(out, seen)
         return em
 
-    def best_paths(self, em: np.ndarray) -> np.ndarray:
-        """Viterbi: steps x windows x tags -> steps x windows."""
-        steps, n, tags = em.shape
-        score, back = em[0].copy(), np.zeros((steps, n, tags), np.int8)
-        move = self.move.astype(np.float32)
-        for t in range(1, steps):
-            all_ = score[:, :, None] + move
-            back[t] = all_.argmax(1)
-            score = np.take_along_axis(all_, back[t][:, None, :].astype(np.int64), 1)[:, 0] + em[t]
-        path = np.zeros((steps, n), np.int8)
-        path[-1] = score.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            path[t - 1] = back[t][np.arange(n), path[t]]
-        return path
-
-    def tag(self, texts: list[np.ndarray], core: int = 320, context: int = 32, most: int = 1 << 19) -> Iterator[list[tuple[int, int, int]]]:
+    def best_paths(self, stretches: list[np.ndarray], opening: np.ndarray) -> list[np.ndarray]:
+        """Viterbi over emissions (steps x tags each); before a stretch and behind it stands tag 0, unless ``opening`` says that a text begins."""
+        length, found = np.array([len(e) for e in stretches], np.int64), [np.zeros(0, np.int8)] * len(stretches)
+        move, order = self.move.astype(np.float32), np.argsort(length, kind="stable")
+        for part in (order[k : k + 2048] for k in range(0, len(order), 2048)):
+            steps, n, tags = int(length[part[-1]]) + 1, len(part), len(move)
+            em = np.full((steps, n, tags), -1e9, np.float32)
+            em[:, :, 0] = 0
+            for row, k in enumerate(part):
+                em[: length[k], row] = stretches[k]
+            score, back = em[0] + np.where(opening[part, None], 0, move[0]), np.zeros((steps, n, tags), np.int8)
+            for t in range(1, steps):
+                best, from_ = score[:, 0, None] + move[0], back[t]
+                for x in range(1, tags):
+                    other = score[:, x, None] + move[x]
+                    from_[other > best] = x
+                    np.maximum(best, other, out=best)
+                score = best + em[t]
+            path = np.zeros((steps, n), np.int8)
+            path[-1] = score.argmax(1)
+            for t in range(steps - 1, 0, -1):
+                path[t - 1] = back[t][np.arange(n), path[t]]
+            for row, k in enumerate(part):
+                found[k] = path[: length[k], row]
+        return found
+
+    def tag(self, texts: list[np.ndarray], core: int = 640, context: int = 32, apart: int = 64, most: int = 1 << 19) -> Iterator[list[tuple[int, int, int]]]:
         """Per text of classes the runs (tag, start, end) of tags other than 0.
 
-        Each position belongs to the core of one window, and windows overlap by the context on both
-        sides.  A position gets the tag that its own window's best path gives it; runs are joined over
-        the borders.  Windows of like length go together.
+        Each position belongs to the core of one window, and windows overlap by the context on both sides.  A
+        position has the emissions of its own window; the windows' emissions are put together over the whole text,
+        and one best path is sought in each stretch of it between ``apart`` positions where tag 0 is sure.
         """
         windows = [(k, s) for k, x in enumerate(texts) for s in range(0, len(x), core)]
         span = [(max(0, s - context), min(len(texts[k]), s + core + context)) for k, s in windows]
-        length = np.array([-(-(b - a) // 32) * 32 for a, b in span], np.int64)
+        length = np.array([b - a for a, b in span], np.int64)
+        order = np.argsort(-length, kind="stable")
+        unsure: dict[int, list[np.ndarray]] = {}  # places by text, in the order of the windows
+        kept: dict[tuple[int, int], np.ndarray] = {}  # core emissions of the windows that have some
+        lo = 0
+        while lo < len(order):
+            size = int(length[order[lo]])
+            hi = min(len(order), lo + max(1, most // size), lo + int(np.searchsorted(-length[order[lo:]], -0.8 * size, "right")))
+            part, lo = order[lo:hi], hi
+            x = np.zeros((len(part), size), np.uint8)
+            for row, w in enumerate(part):
+                a, b = span[w]
+                x[row, : b - a] = texts[windows[w][0]][a:b]
+            em = self.emissions(x.T)
+            doubt = em[:, 0] - em[:, 1:].max(1) < self.margin
+            for row in np.flatnonzero(doubt.any(0)).tolist():
+                k, s = windows[part[row]]
+                own = slice(s - span[part[row]][0], min(s + core, len(texts[k])) - span[part[row]][0])
+                if len(at := np.flatnonzero(doubt[own, row])):
+                    unsure.setdefault(k, []).append(at + s)
+                    kept[k, s // core] = em[own, :, row].copy()
+        stretches, where = [], []
+        for k, places in unsure.items():
+            at = np.sort(np.concatenate(places))
+            for run in np.split(at, np.flatnonzero(np.diff(at) > apart) + 1):
+                i, j = int(run[0]), int(run[-1]) + 1
+                stretches.append(np.concatenate([kept[k, w][max(0, i - w * core) : j - w * core] for w in range(i // core, (j - 1) // core + 1)]))
+                where.append((k, i))
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for size in np.unique(length):
-            group = np.flatnonzero(length == size)
-            step = max(1, most // int(size))
-            for part in (group[i : i + step] for i in range(0, len(group), step)):
-                x = np.zeros((len(part), size), np.uint8)
-                for row, w in enumerate(part):
-                    a, b = span[w]
-                    x[row, : b - a] = texts[windows[w][0]][a:b]
-                em = self.emissions(np.ascontiguousarray(x.T))
-                other = em[:, :, 1]
-                for tag in range(2, em.shape[2]):
-                    other = np.maximum(other, em[:, :, tag])
-                doubtful = np.flatnonzero((em[:, :, 0] - other).min(0) < self.margin)
-                if not len(doubtful):
-                    continue
-                paths = self.best_paths(em[:, doubtful])
-                for row, path in zip(doubtful, paths.T, strict=True):
-                    k, s = windows[part[row]]
-                    a = span[part[row]][0]
-                    own = path[s - a : min(s + core, len(texts[k])) - a]
-                    edges = np.flatnonzero(np.diff(np.r_[0, own != 0, 0]) | np.r_[0, np.diff(own) != 0, 0])
-                    for i, j in zip(edges[:-1], edges[1:], strict=True):
-                        if own[i]:
-                            found[k].append((int(own[i]), s + int(i), s + int(j)))
-        for runs in found:
-            joined: list[tuple[int, int, int]] = []
-            for tag, i, j in sorted(runs, key=lambda r: r[1]):
-                if joined and joined[-1][0] == tag and joined[-1][2] == i:
-                    joined[-1] = (tag, joined[-1][1], j)
-                else:
-                    joined.append((tag, i, j))
-            yield joined
+        for (k, start), path in zip(where, self.best_paths(stretches, np.array([i == 0 for _, i in where], bool)), strict=True):
+            edges = np.flatnonzero(np.r_[True, np.diff(path) != 0, True])
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if path[i]:
+                    found[k].append((int(path[i]), start + i, start + j))
+        yield from (sorted(runs, key=lambda r: r[1]) for runs in found)
+
+
+def squash(x: np.ndarray, s: np.ndarray, room: np.ndarray) -> None:
+    """The rational function in place; ``s`` and ``room`` are scratch of the same shape."""
+    np.clip(x, -3, 3, out=x)
+    np.multiply(x, x, out=s)
+    np.add(s, 27, out=room)
+    x *= room
+    s *= 9
+    s += 27
+    x /= s
+
+
+def squashed(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -3, 3)
+    return x * (27 + x * x) / (27 + 9 * x * x)
+
+
+def slope(x: np.ndarray) -> np.ndarray:
+    """Its derivative."""
+    s = np.minimum(x * x, 9)
+    return (9 - s) ** 2 / (9 * (3 + s) ** 2)
 
 
 def _forward(model: Tagger, x: np.ndarray, d: int):
     steps, n = x.shape
     size = model.u[d].shape[0]
     h, c = np.zeros((steps + 1, n, size)), np.zeros((steps + 1, n, size))
-    gates = np.empty((steps, n, 4 * size))
+    gates, into = np.empty((steps, n, 4 * size)), np.empty((steps, n, 4 * size))
     order = range(steps) if d == 0 else range(steps - 1, -1, -1)
     k = 0
     for t in order:
-        z = np.tanh(model.table[d][x[t]] + h[k] @ model.u[d])
+        into[k] = model.table[d][x[t]] + h[k] @ model.u[d]
+        z = squashed(into[k])
         z[:, : 3 * size] = (z[:, : 3 * size] + 1) / 2
         gates[k] = z
         c[k + 1] = z[:, size : 2 * size] * c[k] + z[:, :size] * z[:, 3 * size :]
-        h[k + 1] = z[:, 2 * size : 3 * size] * np.tanh(c[k + 1])
+        h[k + 1] = z[:, 2 * size : 3 * size] * squashed(c[k + 1])
         k += 1
-    return h, c, gates
+    rise = slope(into)
+    rise[:, :, : 3 * size] /= 2
+    return h, c, gates, rise
 
 
 def _gradients(model: Tagger, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -187,7 +228,7 @@ def _gradients(model: Tagger, x: np.ndarray, y: np.ndarray) -> tuple[float, list
     g_em, pair = g_em * scale, pair * scale
     g_table, g_u, g_out = [], [], []
     for d in (0, 1):
-        h, c, gates = passes[d]
+        h, c, gates, rise = passes[d]
         own = g_em if d == 0 else g_em[::-1]
         g_out.append(np.einsum("tnh,tnk->hk", h[1:], own))
         into = own @ model.out[d].T
@@ -196,9 +237,8 @@ def _gradients(model: Tagger, x: np.ndarray, y: np.ndarray) -> tuple[float, list
         for k in range(steps - 1, -1, -1):
             i, f, o, g = (gates[k][:, j * size : (j + 1) * size] for j in range(4))
             dh = dh + into[k]
-            tc = np.tanh(c[k + 1])
-            dc = dc + dh * o * (1 - tc**2)
-            dz[k] = np.concatenate([dc * g * i * (1 - i) * 2, dc * c[k] * f * (1 - f) * 2, dh * tc * o * (1 - o) * 2, dc * i * (1 - g**2)], 1)
+            dc = dc + dh * o * slope(c[k + 1])
+            dz[k] = np.concatenate([dc * g, dc * c[k], dh * squashed(c[k + 1]), dc * i], 1) * rise[k]
             dc = dc * f
             dh = dz[k] @ model.u[d].T
         g_u.append(np.einsum("tnh,tnk->hk", h[:-1], dz))
