@@ -45,12 +45,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Paths of tables that results still read, to be deleted once those results are written.
+SIDE_TABLES: list[str] = []
+
+
+def drop_side_tables(spark: SparkSession) -> None:
+    """Delete what ``Scratch.side`` wrote; only after the results that read it are written."""
+    while SIDE_TABLES:
+        delete_path(spark, SIDE_TABLES.pop())
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
     ``put`` writes a table and reads it back, which cuts the lineage in a way that survives lost
     executors.  On leaving the ``with`` block all of them are deleted except those written by
-    ``keep``, which back the returned result.
+    ``keep``, which back the returned result, and by ``side``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -74,6 +84,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.put(df, "result")
 
+    def side(self, df: DataFrame) -> DataFrame:
+        """Like ``keep``, for a table that a returned result reads; ``drop_side_tables`` deletes it."""
+        out = self.put(df, "side")
+        SIDE_TABLES.append(f"{self.root}/side/{self.n}")
+        return out
+
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of queries that have ended; it does so once their plans are collected."""
         gc.collect()

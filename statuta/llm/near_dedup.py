@@ -13,12 +13,14 @@ metric, so |d(x, p) - d(y, p)| > 0.25 rules one out, and sets have no more in
 common than the lesser counts of their shared shingles, part by part.  Sets too
 few of whose shingles occur anywhere else have no link and go before all that.
 Every comparison intersects the full shingle sets.  A band with a third of all classes is
-combined before each shuffle and split by adaptive skew joins after it.
+combined before each shuffle, and its members are dealt to tasks of ``SPLIT`` rows.
 
 Defined cases: null or empty texts and those without words have an empty set and
 link with nothing; texts of fewer words than a shingle are one shingle; rows
-that share a doc_id count as one document for links; a null doc_id links with
-nothing and is not kept; other columns of the input are ignored.
+that share a doc_id are one document: they are linked with each other, and what
+links with one of them with all; a null doc_id links with nothing and is not kept;
+other columns of the input are ignored.  In ``drop_near_duplicates`` the document
+with the least doc_id of a group stays, and of its rows the one with the least text.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, mix64, table
+from .common import Scratch, fresh, mix64, table, tidy
 from .components import connected_components
 
 WORDS, PERMUTATIONS, ROWS = 5, 64, 4
 #: A link needs PERCENT * |A or B| <= 100 * |A and B|.
 PERCENT = 75
 PIVOTS, PARTS = 3, 64
+#: Members of a band that are joined in one task, about.
+SPLIT = 512
 
 
 def shingle_hashes(data: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +134,7 @@ def _rows(texts: DataFrame, sets: bool) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f[:, 0].view(np.int64)), pa.array(f[:, 1].view(np.int64)), bands], ["doc_id", "n", "f1", "f2", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, shingles array<long>" if sets else "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return texts.mapInArrow(tidy(run), "doc_id long, shingles array<long>" if sets else "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,43 +179,52 @@ def _shared_counts(sets: DataFrame, owned: DataFrame) -> DataFrame:
                     parts.append(np.maximum(count, 0).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int32()))], ["rep", "parts"])
 
-    return lists.mapInArrow(run, "rep long, parts array<int>")
+    return lists.mapInArrow(tidy(run), "rep long, parts array<int>")
 
 
 def _still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of bands that still hold several components, each with its component c."""
     named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    apart = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return named.join(apart, "key")
+    apart = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi")
+    return named.join(_dealt(apart.select("key", "salts")), ["key", "salt"])
+
+
+def _dealt(bands: DataFrame) -> DataFrame:
+    """``bands`` (key, salts, ...) once for each of the tasks that a band's members are dealt to."""
+    return bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked_classes(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``classes`` (rep, n, bands) of distinct sets -> (node, component) of those with links."""
+def linked_classes(classes: DataFrame, texts: DataFrame, scratch: Scratch, known_links: DataFrame | None = None) -> DataFrame:
+    """``classes`` (rep, n, bands) of distinct sets -> (node, component) of those with links; ``known_links`` (a, b) hold besides."""
     spread = classes.select("rep", "n", F.explode("bands").alias("key"))
-    members = scratch.put(spread.join(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "rep", "n"))
+    members = scratch.put(spread.join(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "rep", "n", "size"))
     shown = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.put(_rows(texts.join(shown, "doc_id", "left_semi"), sets=True))
     # A set that shares too few shingles with all others together has no link: most chance neighbours and far-off copies go here.
     owned = scratch.put(_owned_shingles(sets))
     alone = owned.groupBy("rep").agg(F.count("*").alias("alone"))
-    shared = members.join(alone, "rep", "left").select("key", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"))
-    members = scratch.put(shared.where(F.col("u") * 100 >= F.col("n") * PERCENT).select("key", F.struct("rep", "n", "u").alias("m"), "rep"))
+    salts = F.ceil(F.col("size") / SPLIT).cast("int")
+    shared = members.join(alone, "rep", "left").select("key", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("u"), salts.alias("salts"))
+    dealt = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("salts")).cast("int").alias("salt")
+    members = scratch.put(shared.where(F.col("u") * 100 >= F.col("n") * PERCENT).select("key", dealt, "salts", F.struct("rep", "n", "u").alias("m"), "rep"))
 
     # One pivot a band.
-    pivots = members.groupBy("key").agg(F.min("m").alias("p"))
-    first = members.join(pivots, "key").where((F.col("rep") != F.col("p.rep")) & _room("m", "p"))
+    pivots = members.groupBy("key").agg(F.min("m").alias("p"), F.max("salts").alias("salts"))
+    first = members.drop("salts").join(_dealt(pivots), ["key", "salt"]).where((F.col("rep") != F.col("p.rep")) & _room("m", "p"))
     known = scratch.put(_compare(first.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), sets))
     links = known.where(_linked()).select("a", "b")
+    if known_links is not None:
+        links = links.unionByName(known_links)
     labels = connected_components(links, scratch)
 
     # Three more, where a band holds more than one component.
     apart = scratch.put(_still_apart(members, labels))
-    pivots = apart.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), "m", "c")).alias(f"p{k}") for k in range(PIVOTS)))
-    by_pivot = apart.join(pivots, "key")
+    pivots = apart.groupBy("key").agg(F.max("salts").alias("salts"), *(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), "m", "c")).alias(f"p{k}") for k in range(PIVOTS)))
+    by_pivot = apart.drop("salts").join(_dealt(pivots), ["key", "salt"])
     tried = [
         by_pivot.where((F.col(f"p{k}.c") != F.col("c")) & _room("m", f"p{k}.m")).select(F.col(f"p{k}.m.rep").alias("a"), F.col("rep").alias("b")) for k in range(PIVOTS)
     ]
@@ -224,7 +237,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame, scratch: Scratch) -> Da
     every = known.unionByName(more)
     far = every.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
     far = scratch.put(far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct())
-    rest = _still_apart(apart.drop("c"), labels).join(pivots.select("key", *(F.col(f"p{k}.m.rep").alias(f"q{k}") for k in range(PIVOTS))), "key")
+    rest = _still_apart(apart.drop("c"), labels).drop("salts").join(_dealt(pivots.select("key", "salts", *(F.col(f"p{k}.m.rep").alias(f"q{k}") for k in range(PIVOTS)))), ["key", "salt"])
     for k in range(PIVOTS):
         to_pivot = far.select(F.col("a").alias("rep"), F.col("b").alias(f"q{k}"), F.col("d").alias(f"d{k}"))
         rest = rest.join(to_pivot, ["rep", f"q{k}"], "left").withColumn(f"d{k}", F.when(F.col("rep") == F.col(f"q{k}"), 0.0).otherwise(F.col(f"d{k}")))
@@ -246,27 +259,59 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
     """(doc_id, n_shingles, component_id, kept) per row."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = scratch.put(_rows(texts, sets=False))
+    each = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    if each.where("rows > 1").isEmpty():
+        found = _components(rows, texts, scratch)
+    else:
+        # Every row gets a number of its own; numbers rise with doc_id, so the least of them is that of the least doc_id.
+        numbered = texts.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn("row", F.monotonically_increasing_id())
+        numbered = scratch.put(numbered)
+        real = numbered.where("doc_id is not null").select("doc_id", "row")
+        first = real.groupBy("doc_id").agg(F.min("row").alias("b"), F.count("*").alias("rows")).where("rows > 1").select("doc_id", "b")
+        same = scratch.put(real.join(first, "doc_id").select(F.col("row").alias("a"), "b").where("a <> b"))
+        own = numbered.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+        rows = scratch.put(_rows(own, sets=False))
+        found = _components(rows, own, scratch, same).select(F.col("doc_id").alias("row"), "n", "component_id")
+        least = real.select(F.col("row").alias("component_id"), F.col("doc_id").alias("least"))
+        found = found.join(least, "component_id").join(real, "row").select("doc_id", "n", F.col("least").alias("component_id"))
+        found = found.unionByName(_rows(texts.where("doc_id is null"), sets=False).select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _components(rows: DataFrame, texts: DataFrame, scratch: Scratch, same_document: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n, component_id) per row; no doc_id occurs twice, but for nulls.  ``same_document`` (a, b) are links of rows besides."""
     real = rows.where("n > 0 and doc_id is not null")
     same = scratch.put(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
     # The class representative is the row with the least doc_id; that row carries the bands.
-    classes = real.withColumnRenamed("doc_id", "rep").join(same, ["f1", "f2", "rep"], "left_semi").dropDuplicates(["f1", "f2"]).select("rep", "n", "bands")
-    labels = linked_classes(classes, texts, scratch)
+    classes = real.withColumnRenamed("doc_id", "rep").join(same, ["f1", "f2", "rep"], "left_semi").select("rep", "n", "bands")
+    if same_document is not None:
+        # Rows without words are no class; they stand for themselves.
+        own = real.join(same, ["f1", "f2"]).select("doc_id", "rep")
+        for end in "ab":
+            same_document = same_document.join(own.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
+        same_document = scratch.put(same_document.where("a <> b").distinct())
+    labels = linked_classes(classes, texts, scratch, same_document)
     named = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     found = rows.drop("bands").join(named, ["f1", "f2"], "left")
-    found = found.withColumn("component_id", F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    if same_document is None:
+        empty = F.col("doc_id")
+    else:
+        found = found.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("of_row")), "doc_id", "left")
+        empty = F.coalesce("of_row", "doc_id")
+    return found.select("doc_id", "n", F.when((F.col("n") == 0) | F.col("doc_id").isNull(), empty).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row of each group of linked documents, with its columns; rows without a doc_id or without words stay."""
+    """One row of each group of linked documents, with its columns; rows without a doc_id stay."""
     found = scratch.put(near_duplicates(docs, scratch))
     name = fresh("gone", docs.columns)
-    gone = scratch.keep(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
+    gone = scratch.side(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct())
     out = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
-    # Repeated rows of one document are copies too; those of texts without words are linked with nothing.
-    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = out.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(every, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return out.where("doc_id is null").unionByName(one)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

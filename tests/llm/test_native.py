@@ -113,7 +113,7 @@ def test_lines(spark):
     want = {r[0]: r for r in c.sql(line_dedup.SQL["op4_line_dedup"] + " ORDER BY doc_id").fetchall()}
     with Scratch(spark, "t") as s:
         got = line_dedup.keep_bitmaps(docs_of(spark, rows), s).collect()
-        assert {r["doc_id"]: (r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got} == want
+        assert {r["doc_id"]: (r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"], r["keep_runs"]) for r in got} == want
         texts = dict(rows)
         for r in got:
             assert hashlib.sha256(line_dedup.kept_text(texts[r["doc_id"]], bytes(r["keep_bitmap"])).encode()).hexdigest() == r["kept_sha256"]
@@ -162,6 +162,42 @@ def test_near(spark):
         assert near_dedup.near_duplicates(docs_of(spark, []), s).collect() == []
 
 
+def brute_near_rows(rows):
+    """As brute_near, where rows of one doc_id are one document."""
+    alone = brute_near([(k, t) for k, (_, t) in enumerate(rows)])
+    root = {k: alone[k][1] for k in alone}
+    changed = True
+    while changed:
+        changed = False
+        for k, (i, _) in enumerate(rows):
+            for j, (o, _) in enumerate(rows):
+                if (root[k] == root[j] or i == o) and root[k] != root[j]:
+                    low, high = sorted((root[k], root[j]))
+                    root = {x: low if r == high else r for x, r in root.items()}
+                    changed = True
+    return sorted((i, alone[k][0], min(rows[j][0] for j in root if root[j] == root[k])) for k, (i, _) in enumerate(rows))
+
+
+def test_near_with_repeated_ids(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    bases = [[rng.choice(words) for _ in range(60)] for _ in range(8)]
+    rows = []
+    for k in range(40):
+        own = list(rng.choice(bases))
+        own[rng.randrange(60)] = rng.choice(words)
+        rows.append((rng.randrange(25), " ".join(own)))
+    rows += [(7, " ".join(bases[0])), (7, " ".join(bases[1])), (9, " ".join([*bases[1][:-1], "end"])), (30, ""), (30, " ".join(bases[2])), (31, ""), (31, None), (32, "")]
+    with Scratch(spark, "t") as s:
+        got = near_dedup.near_duplicates(docs_of(spark, [*rows, (None, "no id"), (None, None)]), s).collect()
+        want = brute_near_rows(rows)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
+        assert [r["kept"] for r in got if r["doc_id"] is None] == [False, False]
+        kept = near_dedup.drop_near_duplicates(docs_of(spark, [*rows, (None, "no id")]).withColumn("row", F.lit(1)), s).collect()
+        least = {i for i, _, c in want if i == c}
+        assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None) == sorted((i, min(t or "" for j, t in rows if i == j)) for i in least)
+
+
 def test_min_max_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
