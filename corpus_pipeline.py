@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm.common import Scratch, table
+from statuta.llm.common import Scratch, drop_side_tables, table
 from statuta.llm.decontaminate import drop_leaking
 from statuta.llm.line_dedup import drop_lines
 from statuta.llm.near_dedup import drop_near_duplicates
@@ -58,7 +58,7 @@ STAGES = [
     ("SentencePiece encoding", sentencepiece),
 ]
 
-#: Trained scores and links by shingles can't be told in SQL; the tests have brute-force versions.
+#: Trained scores and links by shingles can't be told in SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
@@ -66,6 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     with Scratch(spark, "pipeline") as scratch:
         for k, (_, stage) in enumerate(STAGES):
-            rows = stage(spark, docs, sf_dir)
-            docs = scratch.keep(rows) if k == len(STAGES) - 1 else scratch.put(rows)
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:  # the last stage's result is written already
+                docs = scratch.put(docs)
+            drop_side_tables(spark)
     return docs
