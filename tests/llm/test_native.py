@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -66,6 +67,50 @@ def test_main_text(spark):
     assert html_extract.extract(df.where("false")).collect() == []
 
 
+LONG_TEXT = "Long enough text of an article, with a number of words. " * 4
+HARD_PAGES = [
+    (f"<article><div class='social-history'><p>{LONG_TEXT}</p></div></article>", LONG_TEXT.strip()),
+    (f"<div class='main ad-free'><p>{LONG_TEXT}</p></div>", LONG_TEXT.strip()),
+    (f"<article><section class='legal'><p>{LONG_TEXT}</p></section><p>short end</p></article>", LONG_TEXT.strip() + "\n\nshort end"),
+    (f"<article><p>{LONG_TEXT}</p><p class='notice'>Closed today</p><p>{LONG_TEXT}</p></article>", LONG_TEXT.strip() + "\n\n" + LONG_TEXT.strip()),
+    ("<article><p>Press <button>Start</button> now.</p><p>a<script>x()</script>b <span hidden>c</span>d</p></article>", "Press now.\n\nab d"),
+    (f"<article><p>{LONG_TEXT}</p><!-- never closed <p>no</p>", LONG_TEXT.strip()),
+    (f"<article><p>{LONG_TEXT}<p never closed", LONG_TEXT.strip()),
+    (f"<body class='page no-sidebar'><div class='page has-sidebar with-comments'><p>{LONG_TEXT}</p></div>", LONG_TEXT.strip()),
+    (f"<form><div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></form><p>x</p>", LONG_TEXT.strip() + "\n\n" + LONG_TEXT.strip() + "\n\nx"),
+    (f"<div class='social'><article><p>{LONG_TEXT}</p></article></div><div class='sidebar'><p>{LONG_TEXT * 9}</p></div>", LONG_TEXT.strip()),
+    (f"<main><p>{LONG_TEXT}</p><div class='ad'><p>{LONG_TEXT}</p></div><div id='comments'><article><p>{LONG_TEXT}</p></article></div></main>", None),
+    ("<h1>A headline of twenty</h1><p>By some writer</p>" + "<p>" + "x" * 300 + "</p><p>" + "y" * 300 + "</p><p>The end.</p><ul>" + "<li><a>link</a></li>" * 9 + "</ul>", "A headline of twenty\n\nBy some writer\n\n" + "x" * 300 + "\n\n" + "y" * 300 + "\n\nThe end."),
+]
+
+
+def test_hard_pages():
+    for html, want in HARD_PAGES:
+        if want is not None:
+            assert html_extract.main_text(html) == want, html
+
+
+@pytest.mark.parametrize("html", ["<p " * 330_000, "<div>" * 60_000 + "</p>" * 60_000, "<article>" + "<div>" * 40_000 + "</ul>" * 40_000, "<b>" * 60_000 + "</i>" * 60_000, "<div>" + "<b>" * 40_000 + "<div></div>" * 40_000, "<!--" * 200_000, "<a href='" * 50_000, "</" * 200_000, "<![CDATA[" * 60_000, "&#" * 200_000, "<p " * 100_000 + ">", "<div class='ad'>" * 40_000 + "text " * 1000])
+def test_malformed_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(html)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_all_pages_against_patterns(spark):
+    """The test tables' pages are regular enough to be read by patterns."""
+    import html as entities
+
+    for r in html_extract.op1_html_extraction(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = re.search(r"(?s)<article>(.*)</article>", r["html"] or "")
+        parts = re.split(r"(?i)</?(?:p|h1|ul|li|div|article)\b[^>]*>", body[1] if body else "")
+        texts = [re.sub(r"\s+", " ", entities.unescape(re.sub("<[^>]*>", "", re.sub("(?i)<br>", " ", p)))).strip() for p in parts]
+        assert r["text"] == "\n\n".join(t for t in texts if t) and r["n_chars"] == len(r["text"])
+
+
 def test_threshold_clusters():
     level = html_extract.smooth(np.array([0.0, 0, 90, 100, 80, 0, 0]), 1.0)
     assert level.argmax() == 3 and level[0] < level[2]
