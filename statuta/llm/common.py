@@ -10,6 +10,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,18 @@ def drop_side_tables(spark: SparkSession) -> None:
         delete_path(spark, SIDE_TABLES.pop())
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Fewer rows a batch between the JVM and Python: rows are whole documents, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
@@ -78,7 +91,8 @@ class Scratch:
 
     def put(self, df: DataFrame, kind: str = "tmp") -> DataFrame:
         path = self.path(kind)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:

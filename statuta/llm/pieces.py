@@ -28,7 +28,7 @@ import heapq
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, parts_for, small_enough, table, tidy
 
 #: The mark that stands for a space; characters of a unit for the fold, pieces of a model, and characters of a block and of what is cut at once, about.
-SPACE, LONG, MODEL, BLOCK_CHARS, LOT_CHARS = "▁", 58, 1_000_000, 30_000_000, 1_000_000
+SPACE, LONG, MODEL, BLOCK_CHARS, LOT_CHARS = "▁", 58, 1_000_000, 12_000_000, 500_000
 #: A byte that no UTF-8 text has; it stands between packed units.
 BETWEEN = b"\xff"
 
@@ -144,15 +144,18 @@ class Block:
             self.cut()
         own = pa.chunked_array([x.dictionary for x in self.lots], pa.string()).combine_chunks().dictionary_encode()
         own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
-        place, lots, lo = own.indices.to_numpy(), [], 0
-        for x in self.lots:
-            lots.append(place[lo : lo + len(x.dictionary)][x.indices.to_numpy()])
-            lo += len(x.dictionary)
-        number = np.concatenate([*lots, np.zeros(0, np.int32)])
+        place, lo, at = own.indices.to_numpy(), 0, 0
+        number = np.empty(sum(map(len, self.lots)), np.int32)
+        while self.lots:  # each is let go as soon as it is copied
+            x = self.lots.pop(0)
+            np.take(place[lo : lo + len(x.dictionary)], x.indices.to_numpy(), out=number[at : at + len(x)])
+            lo, at = lo + len(x.dictionary), at + len(x)
         order = np.argsort(-np.bincount(number, minlength=len(own.dictionary)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        return rank[number], own.dictionary.take(pa.array(order))
+        for k in range(0, len(number), 1 << 20):
+            number[k : k + (1 << 20)] = rank[number[k : k + (1 << 20)]]
+        return number, own.dictionary.take(pa.array(order))
 
 
 def unit_parts(units: pa.StringArray, parts: int) -> np.ndarray:
@@ -160,13 +163,17 @@ def unit_parts(units: pa.StringArray, parts: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, units.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(units)) % parts
 
 
-def planes(number: np.ndarray) -> list[bytes]:
+def planes(number: np.ndarray) -> Iterator[bytes]:
     """The bytes of like weight side by side, which compress better."""
-    return [number.astype("<i4").view(np.uint8).reshape(-1, 4)[:, k].tobytes() for k in range(4)]
+    data = number.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4)
+    return (data[:, k].tobytes() for k in range(4))
 
 
 def from_planes(columns: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(c, np.uint8) for c in columns], 1).reshape(-1).view("<i4")
+    out = np.empty((len(columns[0]), 4), np.uint8)
+    for k, c in enumerate(columns):
+        out[:, k] = np.frombuffer(c, np.uint8)
+    return out.reshape(-1).view("<i4")
 
 
 def unit_blocks(docs: DataFrame, folder: str, joints: set[str], parts: int, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -193,7 +200,7 @@ def unit_blocks(docs: DataFrame, folder: str, joints: set[str], parts: int, char
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            packed = [press(c) for c in [sink.getvalue().to_pybytes(), *planes(number), *planes(listed)]]
+            packed = [press(c) for c in chain([sink.getvalue().to_pybytes()], planes(number), planes(listed))]
             with fs.open_output_stream(f"{place}/{name}") as f:
                 f.write(np.array([len(p) for p in packed], "<i8").tobytes() + b"".join(packed))
             edges = np.flatnonzero(np.r_[True, np.diff(part[listed]) != 0, True]) if len(listed) else np.zeros(1, np.int64)
@@ -225,6 +232,7 @@ def read_block(uri: str) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
     data = fs.open_input_file(path).read()
     at = np.r_[72, 72 + np.cumsum(np.frombuffer(data, "<i8", 9))].tolist()
     head, *columns = (zstandard.ZstdDecompressor().decompress(data[i:j]) for i, j in pairwise(at))
+    del data
     return pa.ipc.open_stream(head).read_all().combine_chunks().to_batches()[0], from_planes(columns[:4]), from_planes(columns[4:])
 
 
