@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .operators import batch, ingest, models, sections, segments, vectors
+from .operators import batch, ingest, models, providers, sections, segments, vectors
 from .sources import files, sinks
 
 INDEX = "legal_code_all"
@@ -83,8 +83,8 @@ def main(args: list[str] | None = None) -> int:
     a = parser.parse_args(args)
     config.load_env()
     spark = SparkSession.builder.appName("statuta").getOrCreate()
-    provider, client = vectors.HashingProvider(), models.OfflineClient()
     try:
+        provider, client = providers.embedding_provider(), providers.llm_client()
         if a.stage == "layout":
             state, _, municipality = a.jurisdiction.partition("-")
             print(sinks.make_layout(spark, a.root, state, municipality))

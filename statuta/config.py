@@ -1,6 +1,6 @@
 """Settings from the environment: which provider and which models to use.
 
-``STATUTA_LLM_PROVIDER``, ``STATUTA_FAST_MODEL``, ``STATUTA_POWERFUL_MODEL`` and
+``STATUTA_LLM_PROVIDER``, ``STATUTA_EMBEDDING_PROVIDER``, ``STATUTA_FAST_MODEL``, ``STATUTA_POWERFUL_MODEL`` and
 ``STATUTA_EMBEDDING_MODEL``; an empty variable counts as unset.
 """
 
@@ -36,6 +36,10 @@ def llm_provider() -> str:
     return name
 
 
+def embedding_provider() -> str:
+    return _env("EMBEDDING_PROVIDER", "hashing").lower()
+
+
 def fast_model() -> str:
     return _env("FAST_MODEL", MODELS[llm_provider()][0])
 

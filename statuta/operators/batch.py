@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.reports import context_block
 from ..functions.schema import ANSWERS, require_text
 from . import models, retrieve
-from .vectors import EmbeddingProvider, embed_texts
+from .vectors import EmbeddingProvider
 
 
 def query_table(spark: SparkSession, queries: list[str | None]) -> DataFrame:
@@ -40,7 +40,10 @@ def run(
     hyde: bool = False,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """The answers table, a row per question in the order given.  What fails for a question becomes its row."""
+    """The answers table, a row per question in the order given.  What fails for a question becomes its row.
+
+    processing_time runs from a question's rewriting to its answer, with the retrieval between them.
+    """
     if client is None:
         raise ValueError("a client is required")
     if sections is None or index is None or provider is None:
@@ -48,29 +51,28 @@ def run(
     require_text(jurisdiction=jurisdiction)
     keys = ["jurisdiction_id"] if keys is None else keys
     asked = query_table(spark, queries).orderBy("query_id").collect()
-    good, bad = [], []
-    for row in asked:
-        try:
-            text = models.rewrite(client, row["query"], model)["rewritten_query"] if hyde else row["query"]
-            good.append((row["query_id"], row["query"], text if hyde else None, [float(x) for x in embed_texts(provider, [text])[0]]))
-        except Exception as e:
-            bad.append((row["query_id"], row["query"], str(e)))
+    prepared = models.prepare_queries(spark.createDataFrame(asked, "query_id long, query string").repartition(max(1, -(-len(asked) // 100)), "query_id"), provider, client if hyde else None, model).collect() if asked else []
+    good = [(r["query_id"], r["query"], r["p"]["rewritten_query"], r["p"]["vector"]) for r in prepared if r["p"]["error"] is None]
+    bad = [(r["query_id"], r["query"], r["p"]["error"]) for r in prepared if r["p"]["error"] is not None]
+    began = {r["query_id"]: r["p"]["began"] for r in prepared}
     table = spark.createDataFrame(good, "query_id long, query string, rewritten_query string, vector array<double>")
     hits = retrieve.search(index, table, k, jurisdiction=jurisdiction)
     rolled = retrieve.roll_up(hits, sections.where(F.col("jurisdiction_id") == jurisdiction) if "jurisdiction_id" in sections.columns else sections, keys)
     counts = retrieve.query_info(table, hits, rolled).select("query_id", F.col("total_segments_found").alias("segments_found"))
+    starts = spark.createDataFrame([(i, b) for i, b in began.items()], "query_id long, began double")
     whole = (
         table.select("query_id", "query")
+        .join(starts, "query_id")
         .join(contexts(rolled), "query_id", "left")
         .join(counts, "query_id", "left")
-        .select("query_id", "query", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sections_found", F.lit(0)).alias("sections_found"), "segments_found")
+        .select("query_id", "query", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sections_found", F.lit(0)).alias("sections_found"), "segments_found", "began")
     )
     told = models.answer_queries(whole, client, model, temperature, max_retries)
     failed = F.col("answer.error").isNotNull()
     zero = lambda c: F.when(failed, F.lit(0)).otherwise(F.col(c)).cast("long")
     done = told.select(
         "query_id", "query", *(f"answer.{c}" for c in ("short_answer", "reasoning", "citations", "supporting_passages", "confidence", "limitations")),
-        zero("sections_found").alias("sections_found"), zero("segments_found").alias("segments_found"), F.col("answer.seconds").alias("processing_time"),
+        zero("sections_found").alias("sections_found"), zero("segments_found").alias("segments_found"), (F.col("answer.finished") - F.col("began")).alias("processing_time"),
     )
     errors = spark.createDataFrame([(i, q, f"Error: {e}", e, [], [], 0.0, "The question could not be processed.", 0, 0, 0.0) for i, q, e in bad], f"query_id long, {ANSWERS}")
     return done.unionByName(errors).orderBy("query_id").drop("query_id")
@@ -80,6 +82,6 @@ def summary(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count("*").alias("answers"), F.avg("confidence").alias("mean_confidence"), F.avg("processing_time").alias("mean_seconds"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "query_id") -> DataFrame:
-    """Numbers rows of a small table from 0."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+def text_view(answers: DataFrame) -> DataFrame:
+    """The same with lists of citations and passages as texts, items on lines of their own; an empty list is an empty text."""
+    return answers.withColumns({c: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x)), "\n") for c in ("citations", "supporting_passages")})

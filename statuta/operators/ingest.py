@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -49,7 +50,7 @@ def check_patterns(spark: SparkSession, structure: HeadingStructure | None) -> l
 def head_lines(text: str, most: int = SAMPLE_LINES) -> list[str]:
     if not text:
         raise ValueError("the document is empty")
-    return text.splitlines(keepends=True)[:most]
+    return re.findall(r"[^\n]*\n|[^\n]+", re.sub("\r\n?", "\n", text))[:most]
 
 
 def detect_headings(client: Client, text: str, most: int = SAMPLE_LINES, model: str | None = None) -> HeadingStructure:

@@ -82,6 +82,44 @@ def rewrite_queries(queries: DataFrame, client: Client, query: str = "query", mo
     return queries.withColumn("r", run(F.col(query))).select(*queries.columns, "r.*")
 
 
+def prepare_queries(queries: DataFrame, provider: Any, client: Client | None = None, model: str | None = None) -> DataFrame:
+    """``queries`` (query_id, query) with p: rewritten_query where a client is given, vector, error and when it began.
+
+    Texts are embedded together, as many as a request takes; where that fails, one by one, so that an error
+    stays with its question.
+    """
+    from .vectors import embed_texts
+
+    @F.pandas_udf("rewritten_query string, vector array<double>, error string, began double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for texts in batches:
+            rows = []
+            for q in texts:
+                row = {"rewritten_query": None, "vector": None, "error": None, "began": time.time()}
+                try:
+                    if client is not None:
+                        row["rewritten_query"] = rewrite(client, q, model)["rewritten_query"]
+                except Exception as e:
+                    row["error"] = str(e)
+                rows.append((row, q))
+            good = [(row, row["rewritten_query"] or q) for row, q in rows if row["error"] is None]
+            try:
+                found = embed_texts(provider, [t for _, t in good]) if good else []
+                for (row, _), v in zip(good, found, strict=True):
+                    row["vector"] = [float(x) for x in v]
+            except Exception:
+                for row, t in good:
+                    try:
+                        row["vector"] = [float(x) for x in embed_texts(provider, [t])[0]]
+                    except Exception as e:
+                        row["error"] = str(e)
+            yield pd.DataFrame([row for row, _ in rows], columns=["rewritten_query", "vector", "error", "began"])
+
+    return queries.withColumn("p", run("query"))
+
+
 def assess_hits(hits: DataFrame, client: Client, query: str = "query", document: str = "document", model: str | None = None) -> DataFrame:
     """Adds assessment (is_relevant, confidence, reasoning) to every hit; a failed call is an assessment that says so."""
     require_columns(hits, [query, document])
@@ -117,7 +155,7 @@ def answer_queries(contexts: DataFrame, client: Client, model: str | None = None
     """``contexts`` (query, context, sections_found, ...) with an answer struct and error, null if there was none."""
     require_columns(contexts, ["query", "context", "sections_found"])
 
-    @F.pandas_udf(f"{ANSWER}, error string, seconds double")
+    @F.pandas_udf(f"{ANSWER}, error string, seconds double, finished double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import time
 
@@ -131,8 +169,8 @@ def answer_queries(contexts: DataFrame, client: Client, model: str | None = None
                 except Exception as e:
                     error = str(e)
                     out = NO_ANSWER | {"short_answer": f"Error: {error}", "reasoning": error, "limitations": "The question could not be processed."}
-                rows.append([*(out.get(k) for k in names), error, time.perf_counter() - began])
-            yield pd.DataFrame(rows, columns=[*names, "error", "seconds"])
+                rows.append([*(out.get(k) for k in names), error, time.perf_counter() - began, time.time()])
+            yield pd.DataFrame(rows, columns=[*names, "error", "seconds", "finished"])
 
     return contexts.withColumn("answer", run("query", "context", "sections_found"))
 

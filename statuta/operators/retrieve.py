@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from heapq import nsmallest
 from itertools import islice
 from typing import Any
 
@@ -11,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.filters import document_filter, metadata_filter, with_jurisdiction
 from ..functions.schema import require_columns, require_positive
-from .vectors import squared_distance, squared_distance_to
+from . import models
+from .vectors import EmbeddingProvider, embed_column, squared_distance_to
 
 #: Most queries of one block of a search; what a task holds of them is a matrix of this many rows.
 QUERIES = 10_000
@@ -57,45 +60,75 @@ def search(
 ) -> DataFrame:
     """``queries`` (query_id, vector) against all rows that fit: query_id, rank, distance and the index's columns but the vector.
 
-    Tasks hold the queries as one matrix and send only their own nearest rows on, so the shuffle has
-    at most k rows (and ties) per query and batch.  Beyond ``QUERIES`` they are searched block by block.
+    Tasks hold the queries as one matrix and keep their k nearest rows of each as they go, so no more than k
+    rows a query and task are shuffled, and of those only the id.  The other columns are joined to the k rows
+    that are left, by ``tie``, which must tell the index's rows apart.  Beyond ``QUERIES`` they are searched
+    block by block.  Rows without a vector, or with a null in it, are not found.
     """
     require_positive(k=k)
     require_columns(index, [embedding, tie])
     require_columns(queries, ["query_id", "vector"])
     rows = narrowed(index, jurisdiction, where, where_document, text).where(F.col(embedding).isNotNull())
     rest = [c for c in rows.columns if c != embedding]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [queries.schema["query_id"], *(rows.schema[c] for c in rest)])
-    names = ["query_id", *rest, "distance"]
-    id_type = queries.select("query_id").schema.fields[0].dataType.simpleString()
-    arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    types = [queries.schema["query_id"].dataType, rows.schema[tie].dataType]
+    kind = ", ".join(f"{n} {t.simpleString()}" for n, t in zip(("query_id", "near_id"), types, strict=True))
+    arrow = [to_arrow_type(t) for t in types]
 
     def block_nearest(asked: list) -> DataFrame:
         matrix = np.array([r["vector"] for r in asked], np.float64)
         numbers = [r["query_id"] for r in asked]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Nearest(matrix, k)
             for big in batches if numbers else ():
-                for batch in (big.slice(j, 2000) for j in range(0, big.num_rows, 2000)):
-                    vectors = batch.column(batch.num_columns - 1)
-                    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                for batch in (big.slice(j, 1000) for j in range(0, big.num_rows, 1000)):
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                     if x.shape[1] != matrix.shape[1]:
                         raise ValueError(f"vectors of {x.shape[1]} numbers in the index, of {matrix.shape[1]} in the queries")
-                    at, own, far = [], [], []
-                    for q, v in enumerate(matrix):
-                        d = ((x - v) ** 2).sum(1)
-                        best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                        at.append(best)
-                        own += [numbers[q]] * len(best)
-                        far.append(d[best])
-                    picked = batch.take(pa.array(np.concatenate(at)))
-                    yield pa.RecordBatch.from_arrays([pa.array(own, arrow_type), *picked.columns[:-1], pa.array(np.concatenate(far))], names)
-
-        return rows.select(*rest, embedding).mapInArrow(run, f"{kind}, distance double")
+                    best.add(x, batch.column(0))
+            for lo in range(0, len(numbers), 1000):
+                found = [(numbers[q], i, d) for q in range(lo, min(lo + 1000, len(numbers))) for d, _, i in best.kept[q]]
+                columns = [pa.array([r[0] for r in found], arrow[0]), pa.array([r[1] for r in found], arrow[1]), pa.array([r[2] for r in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "near_id", "distance"])
+
+        return rows.select(tie, embedding).mapInArrow(run, f"{kind}, distance double")
 
     near = reduce(DataFrame.unionByName, map(block_nearest, query_blocks(queries)))
-    order = Window.partitionBy("query_id").orderBy("distance", tie)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "distance", *rest)
+    order = Window.partitionBy("query_id").orderBy("distance", "near_id")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.join(rows.select(*rest), F.col("near_id").eqNullSafe(F.col(tie))).select("query_id", "rank", "distance", *rest)
+
+
+class Nearest:
+    """The k nearest rows of each query among all that were added: (distance, whether there is an id, id), nearest first."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.size = (queries**2).sum(1) if len(queries) else np.zeros(0)
+        self.kept: list[list[tuple]] = [[] for _ in queries]
+        self.bound = np.full(len(queries), np.inf)
+
+    def add(self, x: np.ndarray, ids: pa.Array) -> None:
+        """Products of matrices rule most rows out; what is left is measured exactly."""
+        good = np.flatnonzero(~np.isnan(x).any(1))
+        x, own = x[good], ids.take(pa.array(good)).to_pylist()
+        size = (x**2).sum(1)
+        slack = 1e-9 * (1 + float(size.max(initial=0)) + float(self.size.max(initial=0)))
+        for lo in range(0, len(self.queries), 1000):
+            part = slice(lo, lo + 1000)
+            about = size[:, None] + self.size[None, part] - 2 * (x @ self.queries[part].T)
+            bound = self.bound[part]
+            if len(x) > self.k:
+                bound = np.minimum(bound, np.partition(about, self.k - 1, axis=0)[self.k - 1])
+            at, q = np.nonzero((about <= bound + slack).T)[::-1]
+            far = ((x[at] - self.queries[lo + q]) ** 2).sum(1)
+            edges = np.searchsorted(q, np.arange(about.shape[1] + 1))
+            for j in np.flatnonzero(np.diff(edges)).tolist():
+                i, end = int(edges[j]), int(edges[j + 1])
+                new = [(d, own[r] is not None, own[r]) for d, r in zip(far[i:end].tolist(), at[i:end].tolist(), strict=True)]
+                self.kept[lo + j] = nsmallest(self.k, self.kept[lo + j] + new)
+                if len(self.kept[lo + j]) == self.k:
+                    self.bound[lo + j] = self.kept[lo + j][-1][0]
 
 
 def compare(
@@ -164,12 +197,23 @@ def distinct_values(hits: DataFrame, columns: list[str]) -> DataFrame:
     return hits.agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in columns))
 
 
-def distances(index: DataFrame, queries: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """All pairs of rows and queries, of which there must be few; for comparisons and tests."""
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries")
-    return index.crossJoin(F.broadcast(queries.select("query_id", "vector"))).withColumn("distance", squared_distance(F.col(embedding), F.col("vector")))
-
+def retrieve(
+    index: DataFrame, queries: DataFrame, provider: EmbeddingProvider, k: int = 10, client: models.Client | None = None, rewrite: bool = False, model: str | None = None, **options: Any
+) -> tuple[DataFrame, DataFrame]:
+    """``queries`` (query_id, query) to their nearest segments in one call: (the queries with rewritten_query and vector, the hits).
 
-def literal_vector(values: list[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+    With ``rewrite`` the passage that a model makes of the question is embedded in its place.  ``options`` are those of ``search``.
+    """
+    require_columns(queries, ["query_id", "query"])
+    asked = models.rewrite_queries(queries.select("query_id", "query"), client, model=model).select("query_id", "query", "rewritten_query") if rewrite else queries.select("query_id", "query", F.lit(None).cast("string").alias("rewritten_query"))
+    asked = asked.withColumn("vector", embed_column(provider, F.coalesce("rewritten_query", "query")).cast("array<double>"))
+    return asked, search(index, asked, k, **options)
+
+
+def retrieve_sections(
+    index: DataFrame, sections: DataFrame, queries: DataFrame, provider: EmbeddingProvider, keys: list[str], k: int = 10, client: models.Client | None = None, rewrite: bool = False, model: str | None = None, **options: Any
+) -> tuple[DataFrame, DataFrame]:
+    """The same, rolled up: (the sections of every query, a row per query of what was searched and found)."""
+    asked, hits = retrieve(index, queries, provider, k, client, rewrite, model, **options)
+    rolled = roll_up(hits, sections, keys)
+    return rolled, query_info(asked.drop("vector"), hits, rolled)

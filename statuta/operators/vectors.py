@@ -10,7 +10,6 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +139,7 @@ def index_rows(
         jurisdiction = tx.make_jurisdiction_id(state, municipality)
     if jurisdiction and not (state and municipality) and "-" in jurisdiction:
         first, _, rest = jurisdiction.partition("-")
-        state, municipality = state or first.upper(), municipality or rest
+        state, municipality = state or first, municipality or rest
     names = metadata if metadata is not None else metadata_columns(embedded, id_col, text, embedding)
     prefix = [F.lit(jurisdiction)] if jurisdiction else [F.col(c).cast("string") for c in keys or []]
     extra = {"jurisdiction_id": jurisdiction, "state": state, "municipality": municipality}
@@ -162,10 +161,10 @@ class VectorIndex:
 
     def read(self) -> DataFrame:
         """All rows; none, with the least schema, before the first ``append``."""
-        try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self.path)
-        except AnalysisException:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], "id string, document string, embedding array<float>")
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
         """Adds the rows whose id is not there yet; appending the same again changes nothing."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import filters, reports
 from ..functions import text as tx
 from ..operators import batch, ingest, models, retrieve, sections, segments, vectors
+from ..sources import files
 from . import corpora
 from .corpora import table
 
@@ -68,10 +69,10 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     return _doubled(spark, d).select("doc_id", F.explode(tx.paragraphs(F.col("text"))).alias("paragraph"))
 
 
-@register(f"SELECT doc_id, len(s) AS n, array_to_string(list_slice(s, 1, 3), '|') AS first FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {corpora.SPACES})), lambda x: x <> '') AS s FROM documents)")
+@register(f"SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS whole FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {corpora.SPACES})), lambda x: x <> '') AS s FROM documents)")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").cast("long").alias("n"), _join(F.slice("s", 1, 3)).alias("first"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), _join("s").alias("whole"))
 
 
 @register("SELECT source, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words, round(avg(len(regexp_extract_all(text, '\\S+'))), 6) AS mean, max(len(regexp_extract_all(text, '\\S+'))) AS most FROM documents GROUP BY source")
@@ -199,14 +200,14 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str, **options) -> DataFrame:
-    queries = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
     index = options.pop("index", None)
     out = retrieve.search(_vectors(spark, d) if index is None else index, queries, 10, text=options.pop("text", "label"), **options)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
 
 
 def _search_sql(where: str = "true", source: str = "embeddings") -> str:
-    return f"""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 40),
+    return f"""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
 e AS (SELECT query_id, vec_id, {corpora.distance("embedding", "v")} AS dist FROM {source} src, q WHERE {where})
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank, vec_id, round(dist, 6) AS distance FROM e QUALIFY rank <= 10"""
 
@@ -379,3 +380,86 @@ def metadata_filter_scan(spark: SparkSession, d: str) -> DataFrame:
     """The filter language on an ordinary table; both conditions reach the scan."""
     fits = filters.metadata_filter({"$and": [{"o_totalprice": {"$gt": 1000}}, {"o_orderstatus": {"$in": ["F", "O"]}}]})
     return table(spark, d, "orders").where(fits).groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+
+
+@register("SELECT conv_id, string_agg(text || chr(10), '' ORDER BY lpad(turn::VARCHAR, 6, '0') || role, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def files_concatenated(spark: SparkSession, d: str) -> DataFrame:
+    """Many files of a key to one text, in the order of their paths."""
+    each = table(spark, d, "conversations").where("text is not null").select("conv_id", F.concat(F.lpad(F.col("turn").cast("string"), 6, "0"), "role").alias("path"), "text")
+    return files.concatenate(each, ["conv_id"])
+
+
+@register(
+    """SELECT 'ca-SanJose:' || vec_id AS id, 'label ' || label AS document, label, 'ca-SanJose' AS jurisdiction_id, 'ca' AS state, 'SanJose' AS municipality,
+  round(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE)), 4) AS total FROM embeddings"""
+)
+def jurisdiction_index(spark: SparkSession, d: str) -> DataFrame:
+    """Segments with vectors to rows of an index, with the parts of the jurisdiction's name."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("segment_idx"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("segment_text"), "embedding", "label")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return vectors.index_rows(rows, "ca-SanJose").withColumn("total", F.round(total, 4)).drop("embedding")
+
+
+_words = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@register(
+    f"""SELECT item_id AS query_id, text AS query, 'This section provides: ' || text AS rewritten_query, 0.5::DOUBLE AS confidence, 'template' AS reasoning,
+  CASE WHEN list_has_any({_words}, ['definition', 'define']) THEN 'definition' WHEN list_has_any({_words}, ['may', 'permit']) THEN 'permission' ELSE 'general' END AS query_type FROM benchmark"""
+)
+def query_rewriting(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return models.rewrite_queries(asked, models.OfflineClient())
+
+
+_rewritten = corpora.SQL_ROLLED.replace("FROM benchmark", "FROM (SELECT item_id, 'This section provides: ' || text AS text FROM benchmark)")
+
+
+@register(f"{W}{_rewritten} SELECT query_id, place, conv_id, section_idx, heading_text, round(relevance_score, 6) AS relevance_score, segment_count FROM rolled")
+def rewritten_section_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Rewriting, embedding, search and roll-up in one call."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    rolled, _ = retrieve.retrieve_sections(corpora.conversation_index(spark, d), corpora.conversation_sections(spark, d), asked, vectors.HashingProvider(corpora.DIM), ["conv_id"], corpora.K, models.OfflineClient(), rewrite=True)
+    return rolled.select("query_id", F.col("place").cast("long").alias("place"), "conv_id", "section_idx", "heading_text", F.round("relevance_score", 6).alias("relevance_score"), "segment_count")
+
+
+class _HeadingClient:
+    """Answers with three levels out of order and a wrong count, as models do."""
+
+    def complete(self, kind: str, prompt: str, system: str | None, model: str | None, **params) -> dict:
+        rows = [(2, r"Part \d+", "##"), (1, "Title [IVX]+", "#"), (3, r"\(\w\)", "###")]
+        return {"total_levels": 7, "levels": [{"level": n, "regex_pattern": p, "markdown_prefix": m} for n, p, m in rows]}
+
+
+@register(
+    r"""SELECT region, total_levels, sample_lines, level, pattern, prefix FROM (SELECT r_regionkey AS region, 3::BIGINT AS total_levels, 2::BIGINT AS sample_lines FROM region),
+  (VALUES (1::BIGINT, 'Title [IVX]+', '#'), (2, 'Part \d+', '##'), (3, '\(\w\)', '###')) t(level, pattern, prefix)""".replace("\\\\", "\\")
+)
+def heading_detection(spark: SparkSession, d: str) -> DataFrame:
+    """A model's heading levels, counted anew, checked and put in order."""
+    rows = []
+    for r in table(spark, d, "region").collect():
+        found = ingest.detect_headings(_HeadingClient(), f"Title I\x0cstill the first line\n{r['r_name']}")
+        rows += [(r["r_regionkey"], found.total_levels, found.file_sample_size, x.level, x.regex_pattern, x.markdown_prefix) for x in ingest.check_patterns(spark, found)]
+    return spark.createDataFrame(rows, "region long, total_levels long, sample_lines long, level long, pattern string, prefix string")
+
+
+@register(
+    f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, '---' || chr(10) || 'jurisdiction:' || chr(10) || '  state: "CA"' || chr(10) || '  municipality: "San Jose"' || chr(10) || '  full_name: "CA - San Jose"' || chr(10)
+  || 'heading_patterns:' || chr(10) || '- level: 1' || chr(10) || '  regex_pattern: "Title"' || chr(10) || '  markdown_prefix: "#"' || chr(10) || '  example_heading: ""' || chr(10) || 'created_at: "2024-01-02T03:04:05+00:00"' || chr(10) || '---' || chr(10) || chr(10) AS head FROM documents)
+SELECT doc_id, length(head || text)::BIGINT AS n_whole, md5(head || text) AS whole, md5(trim(text, {corpora.SPACES})) AS stripped FROM t"""
+)
+def front_matter_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import datetime, timezone
+
+    head = ingest.front_matter(ingest.HeadingStructure([ingest.HeadingLevel(1, "Title", "#")], 1), "ca", " San Jose ", datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc))
+    whole = table(spark, d, "documents").select("doc_id", F.concat(F.lit(head), F.coalesce("text", F.lit(""))).alias("t"))
+    return whole.select("doc_id", F.length("t").cast("long").alias("n_whole"), F.md5("t").alias("whole"), F.md5(ingest.strip_front_matter(F.col("t"))).alias("stripped"))
+
+
+@register("SELECT conv_id, array_to_string(list_transform(list(role ORDER BY turn), lambda x: '- ' || x), chr(10)) AS citations, array_to_string(list_transform(list(text ORDER BY turn), lambda x: '- ' || x), chr(10)) AS supporting_passages FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY conv_id")
+def answers_as_text(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of citations and passages as texts."""
+    of = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("turn", c))), lambda x: x[c])
+    rows = table(spark, d, "conversations").where("text is not null and role is not null").groupBy("conv_id").agg(of("role").alias("citations"), of("text").alias("supporting_passages"))
+    return batch.text_view(rows)

@@ -31,7 +31,7 @@ def check_file(spark: SparkSession, path: str) -> None:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) per file, with newlines of all kinds as one.  A file that is no UTF-8 makes the job fail."""
+    """(path, text) per file, with newlines of all kinds as one.  A file that is no UTF-8 makes the job fail, as it is read lazily."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("c"))
     text = F.when(F.expr("is_valid_utf8(string(c))"), F.expr("string(c)")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path"))))
     return raw.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
