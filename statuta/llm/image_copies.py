@@ -138,10 +138,16 @@ def resize(grey: np.ndarray, ratio: float) -> np.ndarray:
     return (top * (1 - fy) + (grey[y1][:, x0] * (1 - fx) + grey[y1][:, x1] * fx) * fy).astype(np.float32)
 
 
+@functools.cache
+def edged(n: int, reach: int) -> np.ndarray:
+    """Places 0 to n - 1 with the first and the last again, ``reach`` times each."""
+    return np.clip(np.arange(-reach, n + reach), 0, n - 1)
+
+
 def blur(x: np.ndarray, rounds: int = 1) -> np.ndarray:
     for _ in range(rounds):
         for axis in (0, 1):
-            p = np.pad(x, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+            p = x.take(edged(x.shape[axis], 2), axis)
             cut = lambda k, p=p, axis=axis: p[k : k + x.shape[0]] if axis == 0 else p[:, k : k + x.shape[1]]
             x = (cut(0) + cut(4) + 4 * (cut(1) + cut(3)) + 6 * cut(2)) / 16
     return x
@@ -192,8 +198,11 @@ def noise(rng: np.random.Generator, size: int = 112, grain: int = 3) -> np.ndarr
 def highest(x: np.ndarray, reach: int) -> np.ndarray:
     """The greatest value within ``reach`` rows and columns."""
     for axis in (0, 1):
-        p = np.pad(x, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        x = np.lib.stride_tricks.sliding_window_view(p, 2 * reach + 1, axis=axis).max(-1)
+        p, n, wide = np.moveaxis(x.take(edged(x.shape[axis], reach), axis), axis, 0), x.shape[axis], 1
+        while 2 * wide <= 2 * reach + 1:
+            p, wide = np.maximum(p[:-wide], p[wide:]), 2 * wide
+        rest = 2 * reach + 1 - wide
+        x = np.moveaxis(np.maximum(p[:n], p[rest : rest + n]), 0, axis)
     return x
 
 

@@ -1,8 +1,10 @@
 """URL rules with redirect equivalence (operator 9, DataFrame functions only).
 
-Nodes are addresses in a canonical form, edges are canonical links and
-redirects, after whatever delay, found in the pages.  Connected components of those edges
-are groups of aliases.  A page that a rule fits keeps that rule's verdict.
+Nodes are addresses (host, path and query), edges are canonical links and
+redirects, after whatever delay, found in the pages, and those of a crawl log if one is given.
+Connected components of those edges are groups of aliases.  With ``spellings`` addresses
+are also one that servers usually redirect to each other (www and m hosts, /x and
+/x.html, tracking parameters); no page says so, so it is off unless asked for.  A page that a rule fits keeps that rule's verdict.
 Every other page takes the decision of its group: an explicit allow of any
 alias wins over a block, a block wins over nothing, and a group without
 decisions is allowed.
@@ -50,14 +52,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def alias_key(url: Column) -> Column:
-    """One name for the spellings of an address that differ only by redirected parts; null if it is no address."""
+def alias_key(url: Column, spellings: bool = False) -> Column:
+    """One name for an address, or for all spellings that servers usually redirect to it; null if it is no address."""
     host, path = host_and_path(url)
-    asked = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), TRACKING, "")
-    return F.when(
-        host != "",
-        F.concat(F.regexp_replace(host, HOST_ALIAS, ""), F.regexp_replace(path, PATH_ALIAS, ""), F.when(asked != "", F.concat(F.lit("?"), F.regexp_replace(asked, "^&", ""))).otherwise("")),
-    )
+    asked = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    if spellings:
+        asked = F.regexp_replace(F.regexp_replace(asked, TRACKING, ""), "^&", "")
+        host, path = F.regexp_replace(host, HOST_ALIAS, ""), F.regexp_replace(path, PATH_ALIAS, "")
+    else:
+        path = F.when(path == "", "/").otherwise(path)
+    return F.when(host_and_path(url)[0] != "", F.concat(host, path, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise("")))
 
 
 def resolve(url: Column, link: Column) -> Column:
@@ -73,14 +77,14 @@ def resolve(url: Column, link: Column) -> Column:
     )
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", spellings: bool = False) -> DataFrame:
     """(a, b) of alias keys: each page and the targets of its canonical link and redirect."""
     found = [F.regexp_extract(F.regexp_extract(F.col(html), tag, 0), target, 1) for tag, target in ((LINK, HREF), (META, GOTO))]
     one = pages.select(F.col(url).alias("u"), F.array(*found).alias("links")).where("exists(links, x -> x <> '')")
     return (
         one.select("u", F.explode("links").alias("link"))
         .where("link <> ''")
-        .select(alias_key(F.col("u")).alias("a"), alias_key(resolve(F.col("u"), F.col("link"))).alias("b"))
+        .select(alias_key(F.col("u"), spellings).alias("a"), alias_key(resolve(F.col("u"), F.col("link")), spellings).alias("b"))
         .where("a <> b")
     )
 
@@ -96,16 +100,16 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html"
+    pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", spellings: bool = False
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) per page.  ``links`` (a, b) are further redirects between addresses, as from a crawl log."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
-    seen = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), alias_key(F.col(url)).alias("key"))
+    seen = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), alias_key(F.col(url), spellings).alias("key"))
     seen = seen.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    edges = page_links(pages, url, html)
+    edges = page_links(pages, url, html, spellings)
     if links is not None:
-        edges = edges.unionByName(links.select(alias_key(F.col("a")).alias("a"), alias_key(F.col("b")).alias("b")))
+        edges = edges.unionByName(links.select(alias_key(F.col("a"), spellings).alias("a"), alias_key(F.col("b"), spellings).alias("b")))
     with Scratch(spark, "urls") as scratch:
         groups = connected_components(scratch.put(edges.distinct()), scratch).select(F.col("node").alias("key"), "component")
         rows = scratch.put(seen.select("page_id", "host", "path", "r", "key"))
@@ -133,8 +137,8 @@ def _sql() -> str:
     abc = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
     host = lambda u: f"translate(regexp_extract(CASE WHEN contains({u},'://') THEN substr({u},instr({u},'://')+3) ELSE '' END,'^[^/?#]*'),{abc})"
     path = lambda u: f"regexp_extract(CASE WHEN contains({u},'://') THEN substr({u},instr({u},'://')+3) ELSE '' END,'^[^/?#]*([^?#]*)',1)"
-    asked = lambda u: f"regexp_replace(regexp_replace(regexp_extract({u},'^[^?#]*\\?([^#]*)',1),{q(TRACKING)},'','g'),'^&','')"
-    key = lambda u: f"CASE WHEN {host(u)} <> '' THEN regexp_replace({host(u)},{q(HOST_ALIAS)},'') || regexp_replace({path(u)},{q(PATH_ALIAS)},'') || CASE WHEN {asked(u)} <> '' THEN '?' || {asked(u)} ELSE '' END END"
+    asked = lambda u: f"regexp_extract({u},'^[^?#]*\\?([^#]*)',1)"
+    key = lambda u: f"CASE WHEN {host(u)} <> '' THEN {host(u)} || CASE WHEN {path(u)} = '' THEN '/' ELSE {path(u)} END || CASE WHEN {asked(u)} <> '' THEN '?' || {asked(u)} ELSE '' END END"
     rules = reduce(lambda a, b: f"{a} UNION ALL {b}", (f"SELECT {q(v)} v, {q(h)} h, {q(p)} p" for v, h, p in RULES))
     return f"""
 WITH RECURSIVE pg AS (

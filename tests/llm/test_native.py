@@ -127,14 +127,17 @@ def test_urls(spark):
         (15, "http://notexample.org.net/de/", ""), (16, "http://xcom/de/", ""),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, verdict string")
-    got = {(r["page_id"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(df, url_filters.RULES).collect()}
+    got = {(r["page_id"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(df, url_filters.RULES, spellings=True).collect()}
     assert got == {
         (1, "example.org/es/", "block"), (2, None, "block"), (3, None, "block"), (4, None, "block"), (5, None, "block"), (6, None, "block"), (7, "com/de/", "block"), (8, None, "allow"), (9, None, "allow"), (10, None, "allow"),
         (11, "com/fr/", "allow"), (12, "com/de/", "block"), (13, None, "allow"), (None, None, "allow"), (15, None, "allow"), (16, None, "allow"),
     }
+    # Without assumed redirects between spellings only links count.
+    plain = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(df, url_filters.RULES).where("rule is null and page_id is not null").collect()}
+    assert plain == {2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 8: "allow", 9: "allow", 10: "allow", 13: "allow", 15: "allow", 16: "allow"}
     assert url_filters.judge_urls(df.where("false"), url_filters.RULES).collect() == []
     log = spark.createDataFrame([("http://free.net/b?id=2", "http://b.com/de/z")], "a string, b string")
-    assert {r["verdict"] for r in url_filters.judge_urls(df, url_filters.RULES, log).where("page_id = 8").collect()} == {"block"}
+    assert {r["verdict"] for r in url_filters.judge_urls(df, url_filters.RULES, log, spellings=True).where("page_id = 8").collect()} == {"block"}
 
 
 @pytest.mark.parametrize("delay", ["0", "5", "0.5", " 10 ", ".5", ""])
