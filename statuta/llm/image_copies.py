@@ -15,7 +15,10 @@ would give less than ``FALSE`` such rows in the whole search: what is asked for
 grows with the number of pairs of images, not the number of false rows.
 
 Images with equal pixels are one class, so exact copies are compared once.  There
-is no limit on candidates.
+is no limit on candidates.  ``find_copies`` gives every link between a query and such a
+class.  Where many images are copies of each other the links grow with the square of
+their number, so the query returns a row per query and per image instead: its class
+by connected components of the links, and the number of its links.
 
 The tables at hand have no pictures.  The query draws each vector of
 ``embeddings`` as a sum of plane waves, one a number, and searches edited copies of
@@ -43,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, tidy
+from .components import connected_components
 
 #: Bits that a match may differ in, that a corner at its place may differ in, and the share of unlike corners that do no more (measured on noise and waves: 0.02).
 SEED, NEAR, UNLIKE = 32, 80, 0.05
@@ -236,24 +240,20 @@ def describe_image(grey: np.ndarray, pairs: np.ndarray, first: float = 1.0, step
 
 
 def describe(images: DataFrame, image: str = "image", image_id: str = "image_id", first: float = 1.0, step: float = STEP) -> DataFrame:
-    """(image_id, pixels, points, codes) per image with corners; pixels is a digest of the image's grey levels."""
+    """(image_id, pixels, points, codes) per image; pixels is a digest of the image's grey levels.  All are null for an image without corners."""
     pairs = tests()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in (big.slice(k, 100) for k in range(0, big.num_rows, 100)):
-                rows, digests, all_points, all_codes = [], [], [], []
-                for row, data in enumerate(batch.column(1)):
-                    if (grey := read_image(data.as_py())) is None:
-                        continue
-                    points, codes = describe_image(grey, pairs, first, step)
-                    if not len(points):
-                        continue
-                    rows.append(row)
-                    digests.append(hashlib.blake2b(np.array(grey.shape).tobytes() + grey.tobytes(), digest_size=16).hexdigest())
-                    all_points.append(points.astype("<f4").tobytes())
-                    all_codes.append(codes.tobytes())
-                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.string()), pa.array(all_points, pa.binary()), pa.array(all_codes, pa.binary())]
+                digests, all_points, all_codes = [], [], []
+                for data in batch.column(1):
+                    grey = read_image(data.as_py())
+                    points, codes = describe_image(grey, pairs, first, step) if grey is not None else ((), ())
+                    digests.append(hashlib.blake2b(np.array(grey.shape).tobytes() + grey.tobytes(), digest_size=16).hexdigest() if len(points) else None)
+                    all_points.append(points.astype("<f4").tobytes() if len(points) else None)
+                    all_codes.append(codes.tobytes() if len(points) else None)
+                columns = [batch.column(0), pa.array(digests, pa.string()), pa.array(all_points, pa.binary()), pa.array(all_codes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["image_id", "pixels", "points", "codes"])
 
     kind = "image_id long, pixels string, points binary, codes binary"
@@ -346,8 +346,12 @@ def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: i
 
     match_id is the least id among images with those pixels, n_copies their number, inliers the corners found.
     """
-    stored = scratch.put(describe(images))
-    asked = scratch.put(describe(queries, first=ASKED_FIRST, step=ASKED_STEP))
+    return linked(scratch.put(describe(images)), scratch.put(describe(queries, first=ASKED_FIRST, step=ASKED_STEP)), scratch, bits)
+
+
+def linked(stored: DataFrame, asked: DataFrame, scratch: Scratch, bits: int = SEED) -> DataFrame:
+    """The same for queries and images that are described already."""
+    stored, asked = (x.where("pixels is not null") for x in (stored, asked))
     ids = stored.groupBy("pixels").agg(F.min("image_id").alias("match_id"), F.countDistinct("image_id").alias("n_copies"))
     # Images with equal pixels have the same points.
     known = scratch.put(stored.groupBy("pixels").agg(F.first("points").alias("points"), F.first("codes").alias("codes")))
@@ -373,6 +377,34 @@ def find_copies(queries: DataFrame, images: DataFrame, scratch: Scratch, bits: i
     return best.join(ids, "pixels").select("query_id", "match_id", "n_copies", "inliers")
 
 
+def copy_classes(queries: DataFrame, images: DataFrame, scratch: Scratch) -> DataFrame:
+    """(role, image_id, class_id, n_links, inliers): a row per query and a row per image.
+
+    class_id is the least id of the images that links join it with, itself included if it is an image; null for a
+    query without links.  n_links counts the links, equal images each; inliers is the most corners of any.
+    """
+    stored, asked = scratch.put(describe(images)), scratch.put(describe(queries, first=ASKED_FIRST, step=ASKED_STEP))
+    links = scratch.put(linked(stored, asked, scratch))
+    own = stored.where("pixels is not null").groupBy("pixels").agg(F.min("image_id").alias("rep"))
+    members = scratch.put(stored.select("image_id", "pixels").distinct().join(own, "pixels").groupBy("image_id").agg(F.min("rep").alias("rep")))
+    # Even nodes are images, odd ones queries.
+    node = lambda c, odd: (F.col(c).cast("decimal(20,0)") * 2 + odd).cast("decimal(22,0)")
+    groups = connected_components(links.select(node("query_id", 1).alias("a"), node("match_id", 0).alias("b")), scratch)
+    groups = scratch.put(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()))
+    least = groups.where("node % 2 = 0").groupBy("component").agg(F.min((F.col("node") / 2).cast("long")).alias("class_id"))
+    named = groups.join(least, "component").select("node", "class_id")
+    counts = lambda key, n: links.groupBy(F.col(key).alias("rep")).agg(n.cast("long").alias("n_links"), F.max("inliers").alias("inliers"))
+    sides = (
+        ("query", asked.select("image_id").withColumn("rep", F.col("image_id")), counts("query_id", F.sum("n_copies")), 1, F.lit(None).cast("long")),
+        ("image", stored.select("image_id").join(members, "image_id", "left").withColumn("rep", F.coalesce("rep", "image_id")), counts("match_id", F.count("*")), 0, F.col("rep")),
+    )
+    parts = []
+    for role, rows, links_of, odd, alone in sides:
+        joined = rows.join(links_of, "rep", "left").withColumn("node", node("rep", odd)).join(named, "node", "left")
+        parts.append(joined.select(F.lit(role).alias("role"), "image_id", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "inliers"))
+    return parts[0].unionByName(parts[1])
+
+
 def tasks_for(rows: DataFrame, n: int, each: int = 1_000) -> int:
     """Tasks of about ``each`` images: work on them goes by their number, which bytes don't tell."""
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
@@ -508,7 +540,7 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = vectors.where("vec_id % 100 = 0")
     vectors, asked = (v.repartition(tasks_for(v, v.count())) for v in (vectors, asked))
     with Scratch(spark, "images") as scratch:
-        return scratch.keep(find_copies(draw(asked, edit=True), draw(vectors), scratch))
+        return scratch.keep(copy_classes(draw(asked, edit=True), draw(vectors), scratch))
 
 
 QUERIES = {"op10_image_copies": op10_image_copies}

@@ -44,6 +44,22 @@ def test_copies_are_found(spark):
         assert im.find_copies(wanted.where("false"), known, s).collect() == [] and im.find_copies(wanted, known.where("false"), s).collect() == []
 
 
+def test_classes(spark):
+    rng = np.random.default_rng(9)
+    first, second, third = (im.picture(rng.normal(size=64).tolist()) for _ in "abc")
+    near = np.clip(first + 2, 0, 255)
+    rows = [(5, first), (6, first), (7, near), (8, second), (9, None), (11, third)]
+    asked = [(5, im.edited(first, 0)), (8, im.edited(second, 2)), (40, im.picture(rng.normal(size=64).tolist())), (9, None)]
+    kind = "image_id long, image binary, class_id string"
+    known, wanted = (spark.createDataFrame([(k, None if x is None else im.write_image(x), "x") for k, x in part], kind) for part in (rows, asked))
+    with Scratch(spark, "t") as s:
+        got = {(r["role"], r["image_id"]): (r["class_id"], r["n_links"], r["inliers"] is not None) for r in im.copy_classes(wanted, known, s).collect()}
+    assert got == {
+        ("query", 5): (5, 3, True), ("query", 8): (8, 1, True), ("query", 40): (None, 0, False), ("query", 9): (None, 0, False), ("image", 5): (5, 1, True), ("image", 6): (5, 1, True),
+        ("image", 7): (5, 1, True), ("image", 8): (8, 1, True), ("image", 9): (9, 0, False), ("image", 11): (11, 0, False),
+    }
+
+
 def test_each_kind_of_edit_is_found(spark):
     rng = np.random.default_rng(5)
     images = [im.picture(rng.normal(size=64).tolist()) for _ in range(120)]
