@@ -32,16 +32,19 @@ def divide(docs: DataFrame, keys: list[str], text: str = "markdown") -> DataFram
     return each.select(*keys, F.col("section_idx").cast("long").alias("section_idx"), "s.heading_level", "s.heading_text", "s.body_text")
 
 
+def latest_by_level(keys: list[str]) -> list[Column]:
+    """For each of the six levels the last section of it before a section's own, carried along each document."""
+    before = Window.partitionBy(*keys).orderBy("section_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return [F.last(F.when(F.col("heading_level") == level, F.col("section_idx")), ignorenulls=True).over(before) for level in range(1, 7)]
+
+
 def with_parents(sections: DataFrame, keys: list[str]) -> DataFrame:
     """Adds parent: the latest section before with a lower level, null for none.
 
-    The last section of each of the six levels is carried along each document; among those of a lower
-    level the latest is the parent.
+    Among the last sections of the lower levels the latest is the parent.
     """
     require_columns(sections, [*keys, "section_idx", "heading_level"])
-    before = Window.partitionBy(*keys).orderBy("section_idx").rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.last(F.when(F.col("heading_level") == level, F.col("section_idx")), ignorenulls=True).over(before) for level in range(1, 7)]
-    lower = [F.when(F.col("heading_level") > level, c) for level, c in enumerate(latest, 1)]
+    lower = [F.when(F.col("heading_level") > level, c) for level, c in enumerate(latest_by_level(keys), 1)]
     return sections.withColumn("parent", F.greatest(*lower).cast("long"))
 
 
@@ -52,12 +55,15 @@ def children_count(sections: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ancestor_path(sections: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, section_idx, path): the indexes from the root to the section.  Levels go to six, so five steps up are enough."""
-    link = sections.select(*keys, "section_idx", "parent")
-    out = link.select(*keys, "section_idx", F.col("parent").alias("up"), F.array("section_idx").alias("path"))
-    for _ in range(5):
-        above = link.select(*keys, F.col("section_idx").alias("up"), F.col("parent").alias("next"))
-        out = out.join(above, [*keys, "up"], "left").select(
-            *keys, "section_idx", F.col("next").alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path")
-        )
-    return out.select(*keys, "section_idx", "path")
+    """(keys, section_idx, path): the indexes from the root to the section, in one pass over each document.
+
+    The last section of a lower level is an ancestor if it comes after the last ones of all levels below its own.
+    """
+    require_columns(sections, [*keys, "section_idx", "heading_level"])
+    names = [f"last_{level}" for level in range(1, 7)]
+    seen = sections.select(*keys, "section_idx", "heading_level", *(c.alias(n) for n, c in zip(names, latest_by_level(keys), strict=True)))
+    above = []
+    for level, n in enumerate(names, 1):
+        earlier = F.greatest(F.lit(-1).cast("long"), F.lit(-1).cast("long"), *(F.col(x).cast("long") for x in names[: level - 1]))
+        above.append(F.when((F.col("heading_level") > level) & (F.col(n) > earlier), F.col(n).cast("long")))
+    return seen.select(*keys, "section_idx", F.array_append(F.array_compact(F.array(*above)), F.col("section_idx").cast("long")).alias("path"))
