@@ -124,3 +124,11 @@ def test_writers(spark, tmp_path):
 def test_offline_client_refuses_other_kinds():
     with pytest.raises(ValueError):
         models.OfflineClient().complete("song", "p", None, None)
+
+
+def test_counts_per_window(spark):
+    from statuta.streaming.ingest import events_per_window
+
+    rows = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:09:59", "a"), ("2024-01-01 00:10:00", "b")], "t string, kind string").selectExpr("timestamp(t) AS t", "kind")
+    got = [(r["window"]["start"].minute, r["kind"], r["n"]) for r in events_per_window(rows, "t", by="kind").orderBy("window.start").collect()]
+    assert got == [(0, "a", 2), (10, "b", 1)]
