@@ -416,6 +416,43 @@ def test_leaks_of_common_words(spark):
     assert {(1000 * at + k, k) for k, _ in items for at in (48, 52, 56, 60)} - got == set()
 
 
+def space_of_all_windows(docs, items, rank):
+    """The cosine of a text's first window with an item, in the space of all windows of all documents, by a dense decomposition."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    terms = {w: k for k, w in enumerate(sorted({w for t in items for w in split(t)}))}
+    idf = np.array([np.log((1 + len(docs)) / (1 + sum(w in x for x in map(set, map(split, docs))))) + 1e-3 for w in terms])
+
+    def row(words):
+        return np.bincount([terms[w] for w in words if w in terms], minlength=len(terms)) * idf
+
+    windows = [row(w[k : k + 32]) for w in map(split, docs) for k in range(0, max(1, len(w) - 16), 16)]
+    a = np.array([x / np.linalg.norm(x) for x in windows if x.any()])
+    b = np.array([x / np.linalg.norm(x) for x in (row(split(t)) for t in items)])
+    vectors = np.linalg.eigh(a.T @ a + decontaminate.OWN * len(a) / len(b) * b.T @ b)[1][:, -rank:]
+
+    def cosine(text, item):
+        x, y = row(split(text)[:32]) @ vectors, row(split(item)) @ vectors
+        return x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+
+    return cosine
+
+
+def test_the_latent_space_is_that_of_all_documents(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    items = [" ".join(rng.sample(words, 20)) for _ in range(12)]
+    # 4,500 texts of which each fifth hundred speaks of other words.
+    docs = [" ".join(rng.choices(words[5 * (k // 500 % 8) :][:5] + ["other", "more"], k=rng.choice([6, 20, 48]))) for k in range(4_500)]
+    docs += [" ".join(w for w in items[k].split() if rng.random() < 0.9) for k in range(12)]
+    cosine = space_of_all_windows(docs, items, 24)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    with Scratch(spark, "t") as s:
+        found = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontaminate.find_leaks(docs_of(spark, list(enumerate(docs))), bench, s, rank=24).collect()}
+    assert {(4_500 + k, k) for k in range(12)} <= set(found)
+    for k in range(12):
+        assert abs(found[4_500 + k, k] - cosine(docs[4_500 + k], items[k])) < 1e-4
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
