@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from statuta.llm import decontaminate
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,6 +54,27 @@ def test_stages(spark, tmp_path):
     assert now.where("not round_trip").count() == 0
 
 
+def test_decontamination_learns_from_all_documents(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    item = " ".join(words[:24])
+    # Windows with a word of the item: one of each even text of less than 33 words, two of each odd one; the last texts have none.
+    rows = [(k, " ".join(rng.choices(words[:40], k=(20, 40)[k % 2]))) for k in range(4_000)]
+    rows += [(9_000 + k, "foreign words only") for k in range(50)] + [(9_100, None), (9_101, f"before it {item} after it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, product = [], decontaminate.gram_product
+
+    def counted(*args):
+        seen.append(product(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(decontaminate, "gram_product", counted)
+    kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert {n for _, n in seen} == {2_000 + 2 * 2_000 + 1} and len(seen) == 2
+    assert 9_101 not in kept and {9_000, 9_049, 9_100} <= kept
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_registered():
     names = list(__spark_entry__.queries())
