@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, parts_for, small_enough, table, tidy
 
-#: The mark that stands for a space; characters of a unit for the fold, pieces of a model, and characters of a block and of what is cut at once, about.
-SPACE, LONG, MODEL, BLOCK_CHARS, LOT_CHARS = "▁", 58, 1_000_000, 12_000_000, 500_000
+#: The mark that stands for a space; characters of a unit for the fold, pieces of a model, and characters of a block, of what is cut at once and of a task's fold, about.
+SPACE, LONG, MODEL, BLOCK_CHARS, LOT_CHARS, FOLD_CHARS = "▁", 58, 1_000_000, 12_000_000, 500_000, 150_000
 #: A byte that no UTF-8 text has; it stands between packed units.
 BETWEEN = b"\xff"
 
@@ -374,6 +374,12 @@ def encode_units(units: DataFrame, pieces: list[tuple[str, float, int]], first_b
     return folded.unionByName(units.where(F.length("unit") > LONG).select("unit", "n").mapInArrow(tidy(run), "unit string, n long, ids array<int>"))
 
 
+def fold_parts(units: DataFrame, parts: int) -> int:
+    """A number of partitions for the fold, ``parts`` at least: it sorts the edges of all units of a task, many times their characters."""
+    chars = units.where(F.length("unit") <= LONG).agg(F.sum(F.length("unit"))).first()[0] or 0
+    return max(parts, -(-chars // FOLD_CHARS))
+
+
 def spelt(units: pa.Array, ids: pa.ListArray, names: dict[int, str], first_byte: int) -> np.ndarray:
     """Whether the ids of each unit decode to it."""
     flat = ids.values.to_numpy(zero_copy_only=False)[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
@@ -441,7 +447,7 @@ def encode_documents(docs: DataFrame, scratch: Scratch, path: str, kind: str = "
     asked = lists.where("part >= 0")
     units = scratch.put(distinct_units(asked))
     scratch.sweep()
-    coded = scratch.put(encode_units(units.repartition(parts, "unit"), pieces, first_byte, kind))
+    coded = scratch.put(encode_units(units.repartition(fold_parts(units, parts), "unit"), pieces, first_byte, kind))
     scratch.sweep()
     scratch.drop(units)
     whole = lists.where("part < 0").select("block", "part", F.col("units").alias("ids")).unionByName(answers(coded, asked, pieces, first_byte))

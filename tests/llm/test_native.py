@@ -322,6 +322,24 @@ def test_pieces(spark):
         assert pieces.encode_documents(docs_of(spark, []), s, pieces.model_path()).collect() == []
 
 
+def test_a_task_folds_a_bounded_number_of_characters(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "FOLD_CHARS", 2_000, raising=False)
+    sp, rng, sizes, encode = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), random.Random(8), [], pieces.encode_units
+
+    def counted(units, *args):
+        sizes.extend(r["n"] for r in units.groupBy(F.spark_partition_id()).agg(F.sum(F.length("unit")).alias("n")).collect())
+        return encode(units, *args)
+
+    monkeypatch.setattr(pieces, "encode_units", counted)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 12))) for _ in range(50))) for k in range(60)]
+    with Scratch(spark, "t") as s:
+        got = pieces.encode_documents(docs_of(spark, rows), s, pieces.model_path(), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {k: sp.encode(t) for k, t in rows}
+    assert sum(sizes) > 20_000 and max(sizes) < 3_000
+
+
 def test_viterbi(spark):
     rng = random.Random(2)
     letters = "abcd"
