@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, tidy
+from .common import Scratch, small_enough, table, tidy
 from .components import connected_components
 
 #: Bits that a match may differ in, that a corner at its place may differ in, and the share of unlike corners that do no more (measured on noise and waves: 0.02).
@@ -60,6 +60,8 @@ ASKED_FIRST, ASKED_STEP = 1.34, 0.89
 SHIFT, ANGLE, GROW = 3.0, 0.4, 0.35
 #: Query images that are sent to every task at once.
 ASKED = 2_048
+#: Links whose classes one task finds in memory.
+AT_ONCE = 200_000
 
 
 def read_image(data: bytes | None) -> np.ndarray | None:
@@ -386,23 +388,57 @@ def copy_classes(queries: DataFrame, images: DataFrame, scratch: Scratch) -> Dat
     stored, asked = scratch.put(describe(images)), scratch.put(describe(queries, first=ASKED_FIRST, step=ASKED_STEP))
     links = scratch.put(linked(stored, asked, scratch))
     own = stored.where("pixels is not null").groupBy("pixels").agg(F.min("image_id").alias("rep"))
-    members = scratch.put(stored.select("image_id", "pixels").distinct().join(own, "pixels").groupBy("image_id").agg(F.min("rep").alias("rep")))
+    members = stored.select("image_id", "pixels").join(own, "pixels").groupBy("image_id").agg(F.min("rep").alias("rep"))
+    named = scratch.put(ends(links, scratch))
+    rows = asked.select(F.lit("query").alias("role"), "image_id", F.col("image_id").alias("rep"))
+    rows = rows.unionByName(stored.select("image_id").join(members, "image_id", "left").select(F.lit("image").alias("role"), "image_id", F.coalesce("rep", "image_id").alias("rep")))
+    class_id = F.coalesce("class_id", F.when(F.col("role") == "image", F.col("rep"))).alias("class_id")
+    return rows.join(named, ["role", "rep"], "left").select("role", "image_id", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "inliers")
+
+
+def ends(links: DataFrame, scratch: Scratch, at_once: int = AT_ONCE) -> DataFrame:
+    """(role, rep, class_id, n_links, inliers): for the ends of ``links`` the least match_id that links join them with, and their links.
+
+    Up to ``at_once`` links are joined in memory by one task, more by joins of tables.
+    """
+    links = links.select("query_id", "match_id", "n_copies", "inliers").where("query_id is not null and match_id is not null")
+    if small_enough(links, at_once):
+        return links.coalesce(1).mapInArrow(tidy(ends_at_once), "role string, rep long, class_id long, n_links long, inliers long")
+    side = lambda role, key, n: links.select(F.lit(role).alias("role"), F.col(key).alias("rep"), n.cast("long").alias("n"), "inliers")
+    counts = side("query", "query_id", F.col("n_copies")).unionByName(side("image", "match_id", F.lit(1))).groupBy("role", "rep").agg(F.sum("n").alias("n_links"), F.max("inliers").alias("inliers"))
     # Even nodes are images, odd ones queries.
     node = lambda c, odd: (F.col(c).cast("decimal(20,0)") * 2 + odd).cast("decimal(22,0)")
     groups = connected_components(links.select(node("query_id", 1).alias("a"), node("match_id", 0).alias("b")), scratch)
     groups = scratch.put(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()))
-    least = groups.where("node % 2 = 0").groupBy("component").agg(F.min((F.col("node") / 2).cast("long")).alias("class_id"))
-    named = groups.join(least, "component").select("node", "class_id")
-    counts = lambda key, n: links.groupBy(F.col(key).alias("rep")).agg(n.cast("long").alias("n_links"), F.max("inliers").alias("inliers"))
-    sides = (
-        ("query", asked.select("image_id").withColumn("rep", F.col("image_id")), counts("query_id", F.sum("n_copies")), 1, F.lit(None).cast("long")),
-        ("image", stored.select("image_id").join(members, "image_id", "left").withColumn("rep", F.coalesce("rep", "image_id")), counts("match_id", F.count("*")), 0, F.col("rep")),
-    )
-    parts = []
-    for role, rows, links_of, odd, alone in sides:
-        joined = rows.join(links_of, "rep", "left").withColumn("node", node("rep", odd)).join(named, "node", "left")
-        parts.append(joined.select(F.lit(role).alias("role"), "image_id", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "inliers"))
-    return parts[0].unionByName(parts[1])
+    image, number = F.col("node") % 2 == 0, F.floor(F.col("node") / 2).cast("long")
+    least = groups.where(image).groupBy("component").agg(F.min(number).alias("class_id"))
+    named = groups.join(least, "component").select(F.when(image, "image").otherwise("query").alias("role"), number.alias("rep"), "class_id")
+    return named.join(counts, ["role", "rep"])
+
+
+def ends_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ends`` of the links (query_id, match_id, n_copies, inliers) in ``batches``."""
+    got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not got:
+        return
+    query_id, match_id, copies, inliers = (np.concatenate(x) for x in zip(*got, strict=True))
+    (queries, q), (images, m) = (np.unique(x, return_inverse=True) for x in (query_id, match_id))
+    least = np.arange(len(images))  # per image the place of a lesser one it is joined with, or its own
+    while True:
+        before, of_query = least.copy(), np.full(len(queries), len(images))
+        np.minimum.at(of_query, q, before[m])
+        np.minimum.at(least, m, of_query[q])
+        # What an image points at is joined with all that the image is.
+        np.minimum.at(least, before[m], of_query[q])
+        least = least[least]
+        if np.array_equal(least, before):
+            break
+    for role, rep, at, end, n in (("query", queries, of_query, q, copies), ("image", images, least, m, np.ones_like(copies))):
+        n_links, most = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
+        np.add.at(n_links, end, n)
+        np.maximum.at(most, end, inliers)
+        columns = [pa.array([role] * len(rep), pa.string()), *(pa.array(c, pa.int64()) for c in (rep, images[at], n_links, most))]
+        yield pa.RecordBatch.from_arrays(columns, ["role", "rep", "class_id", "n_links", "inliers"])
 
 
 def tasks_for(rows: DataFrame, n: int, each: int = 1_000) -> int:

@@ -60,6 +60,46 @@ def test_classes(spark):
     }
 
 
+def test_ends_in_memory_and_by_tables(spark):
+    rng = np.random.default_rng(4)
+    path = (rng.permutation(300) - 40).tolist()
+    chain = [(k, m) for k, pair in enumerate(zip(path, path[1:], strict=False)) for m in pair]
+    big = 2**62
+    links = chain + [(0, 5), (0, 5), (1000, big + 1), (1000, big), (-7, -900), (None, 3), (1001, None)]
+    links += [(int(q), int(m)) for q, m in zip(rng.integers(2000, 2060, 60), rng.integers(2000, 2090, 60), strict=True)]
+    group = {}
+    for q, m in links:
+        if q is not None and m is not None:
+            both = group.get(("query", q), set()) | group.get(("image", m), set()) | {("query", q), ("image", m)}
+            group |= dict.fromkeys(both, both)
+    links = [(q, m, 1 + k % 3, 10 + k % 50) for k, (q, m) in enumerate(links)]
+    whole = [r for r in links if None not in r]
+    want = []
+    for (role, rep), both in group.items():
+        own = [r for r in whole if r[role == "image"] == rep]
+        want.append((role, rep, min(n for kind, n in both if kind == "image"), sum(r[2] for r in own) if role == "query" else len(own), max(r[3] for r in own)))
+    df = spark.createDataFrame(links, "query_id long, match_id long, n_copies long, inliers long").repartition(3)
+    columns = ["role", "rep", "class_id", "n_links", "inliers"]
+    with Scratch(spark, "t") as s:
+        made = s.n
+        got = sorted(tuple(r) for r in im.ends(df, s).select(columns).collect())
+        assert s.n == made, "few links need no tables"
+        assert got == sorted(want) == sorted(tuple(r) for r in im.ends(df, s, at_once=9).select(columns).collect())
+        assert im.ends(df.where("false"), s).collect() == []
+
+
+def test_few_links_write_few_tables(spark):
+    """Each file of a table is a process for its rights (chmod), and each join a page of memory in every task."""
+    rng = np.random.default_rng(9)
+    first = im.picture(rng.normal(size=64).tolist())
+    kind = "image_id long, image binary"
+    known = spark.createDataFrame([(k, im.write_image(np.clip(first + k, 0, 255))) for k in range(4)], kind)
+    wanted = spark.createDataFrame([(k, im.write_image(im.edited(first, k))) for k in range(3)], kind)
+    with Scratch(spark, "t") as s:
+        assert {r["class_id"] for r in im.copy_classes(wanted, known, s).collect()} == {0}
+        assert s.n <= 6
+
+
 def test_each_kind_of_edit_is_found(spark):
     rng = np.random.default_rng(5)
     images = [im.picture(rng.normal(size=64).tolist()) for _ in range(120)]
