@@ -121,7 +121,7 @@ class Nearest:
             if len(x) > self.k:
                 bound = np.minimum(bound, np.partition(about, self.k - 1, axis=0)[self.k - 1])
             at, q = np.nonzero((about <= bound + slack).T)[::-1]
-            far = ((x[at] - self.queries[lo + q]) ** 2).sum(1)
+            far = reduce(np.add, ((x[at] - self.queries[lo + q]) ** 2).T, np.zeros(len(at)))  # from the left, as ``nearest`` and SQL add: sum(1) differs in the last bit
             edges = np.searchsorted(q, np.arange(about.shape[1] + 1))
             for j in np.flatnonzero(np.diff(edges)).tolist():
                 i, end = int(edges[j]), int(edges[j + 1])

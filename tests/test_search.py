@@ -30,6 +30,25 @@ def test_topk_with_ties(spark, index):
     assert retrieve.search(index, queries.where("false"), 3).count() == 0
 
 
+def test_distances_are_summed_from_the_left(spark):
+    """Another order of adding differs in the last bit and so in the order of near ties; the SQL adds from the left."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: (x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.float32).tolist()
+    vectors_, (q, *_) = unit(rng.integers(-3, 4, (400, 32)).astype(float)), unit(rng.integers(-3, 4, (1, 32)).astype(float))
+
+    def far(v):
+        total = 0.0
+        for a, b in zip(v, q, strict=True):
+            total += (a - b) * (a - b)
+        return total
+
+    index = spark.createDataFrame([(f"i{k:03}", v) for k, v in enumerate(vectors_)], "id string, embedding array<float>")
+    queries = spark.createDataFrame([(0, q)], "query_id long, vector array<double>")
+    want = sorted((far(v), f"i{k:03}") for k, v in enumerate(vectors_))[:200]
+    assert [(r["distance"], r["id"]) for r in retrieve.search(index, queries, 200).orderBy("rank").collect()] == want
+    assert [(r["distance"], r["id"]) for r in retrieve.nearest(index, q, 200).orderBy("rank").collect()] == want
+
+
 def test_more_queries_than_a_block(spark, index, monkeypatch):
     queries = spark.createDataFrame([(k, [float(k % 3), 1.0, -float(k % 2), 0.0]) for k in range(8)] + [(8, None)], "query_id long, vector array<double>")
     want = sorted(map(tuple, retrieve.search(index, queries, 4).collect()))
