@@ -13,6 +13,8 @@ from ..functions import text as tx
 from ..functions.schema import SEGMENTS, require_columns, require_positive
 
 TOKENS, WORDS_PER_TOKEN = 1024, 0.78
+#: Up to this many words a segment is one match of a pattern; matching recurses by words, and Java's stack ended between 2,000 and 4,000.
+DEEP = 1000
 _GAP, _STOP = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
 
 
@@ -74,16 +76,34 @@ def _cut(c: Column, limit: int) -> Column:
     )
 
 
+def _longer(c: Column, limit: int) -> Column:
+    """Whether a stripped text has more words than the limit; reads no further than that."""
+    return c.rlike(rf"\A(?:{tx.WORD}{tx.SPACE}){{{limit}}}+{tx.NOT_WS}")
+
+
+def _matched(paragraph: Column, limit: int) -> Column:
+    """``_pack`` and ``_cut`` by patterns: as many words as fit, back to the last end of a sentence, or one sentence that is too long."""
+    one_gap = F.regexp_replace(paragraph, rf"(?![!-~])(?<=[.!?]){tx.WS}++", " ")
+    fits = rf"{tx.WORD}(?:{tx.SPACE}{tx.WORD}){{0,{limit - 1}}}(?:(?<=[.!?])|\z)"
+    found = F.regexp_extract_all(one_gap, F.lit(rf"{fits}|(?:[!-~]|{tx.NOT_WS}|(?<![.!?]){tx.WS})++"), 0)
+    by_words = lambda s: F.regexp_extract_all(F.regexp_replace(s, rf"(?![!-~]){tx.WS}++", " "), F.lit(rf"{tx.WORD}(?: {tx.WORD}){{0,{limit - 1}}}+"), 0)
+    return F.flatten(F.transform(found, lambda s: F.when(_longer(s, limit), by_words(s)).otherwise(F.array(s))))
+
+
 def chunk_column(text: Column, limit: int) -> Column:
-    """``chunk_text`` as an expression, without Python; slower for small limits."""
-    packed = F.flatten(F.transform(tx.paragraphs(text), lambda p: F.when(tx.word_count(p) <= limit, F.array(p)).otherwise(_pack(tx.sentences(p), limit))))
-    return F.coalesce(F.flatten(F.transform(packed, lambda s: _cut(s, limit))), F.array().cast("array<string>"))
+    """``chunk_text`` as an expression, without Python."""
+    if limit <= DEEP:
+        packed = lambda p: _matched(p, limit)
+    else:
+        packed = lambda p: F.flatten(F.transform(_pack(tx.sentences(p), limit), lambda s: _cut(s, limit)))
+    each = F.transform(tx.paragraphs(text), lambda p: F.when(_longer(p, limit), packed(p)).otherwise(F.array(p)))
+    return F.coalesce(F.flatten(each), F.array().cast("array<string>"))
 
 
 def chunk(text: Column, token_limit: float = TOKENS, words_per_token: float = WORDS_PER_TOKEN, python: bool = True) -> Column:
     """An array of segments; null and blank texts give an empty one.
 
-    By default an Arrow batch at a time in Python, which is several times faster than interpreted lambdas.
+    By default an Arrow batch at a time in Python; otherwise by patterns in the JVM.
     """
     limit = word_limit(token_limit, words_per_token)
     if not python:

@@ -24,6 +24,19 @@ def test_python_and_expression_agree(spark):
         assert [r["x"] for r in got] == [segments.chunk_text(t, limit) if t else [] for t in texts], limit
 
 
+def test_long_texts_by_expression(spark, monkeypatch):
+    """Segments come from patterns and not from a fold in interpreted lambdas, up to the limit where Java's stack is safe; both agree with Python."""
+    texts = ["word " * 5000, "One two. " * 3000 + "x " * 70 + "end! Next", " ".join(f"w{k}{'.' if k % 97 == 0 else ''}" for k in range(4000)), "é ü. \u3000a\u00a0b\x85c\n d!  e\x1cf? " * 300, "!? . .. a.b ? " * 200, "a.  b\tc. d\n" + "e\n f.\x0bg " * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for limit in (1, 7, 50, 1000, 1001):
+        cut = df.select("k", segments.chunk_column(F.col("t"), limit).alias("x")).orderBy("k")
+        assert [r["x"] for r in cut.collect()] == [segments.chunk_text(t, limit) for t in texts], limit
+        assert ("aggregate(" in cut._jdf.queryExecution().analyzed().toString()) == (limit > segments.DEEP)
+    monkeypatch.setattr(segments, "DEEP", 0)
+    cut = df.select("k", segments.chunk_column(F.col("t"), 50).alias("x")).orderBy("k")
+    assert [r["x"] for r in cut.collect()] == [segments.chunk_text(t, 50) for t in texts]
+
+
 def test_boundary():
     assert segments.word_limit(1024, 0.78) == 798 and segments.word_limit(50) == 39
     assert len(segments.chunk_text("w " * 39, 39)) == 1
