@@ -63,12 +63,13 @@ def search(
     Tasks hold the queries as one matrix and keep their k nearest rows of each as they go, so no more than k
     rows a query and task are shuffled, and of those only the id.  The other columns are joined to the k rows
     that are left, by ``tie``, which must tell the index's rows apart.  Beyond ``QUERIES`` they are searched
-    block by block.  Rows without a vector, or with a null in it, are not found.
+    block by block.  Rows without a vector, or with a null in it, are not found; the tasks leave them out, as a
+    condition on a vector that a plan computes would have it computed again for each place that reads it.
     """
     require_positive(k=k)
     require_columns(index, [embedding, tie])
     require_columns(queries, ["query_id", "vector"])
-    rows = narrowed(index, jurisdiction, where, where_document, text).where(F.col(embedding).isNotNull())
+    rows = narrowed(index, jurisdiction, where, where_document, text)
     rest = [c for c in rows.columns if c != embedding]
     types = [queries.schema["query_id"].dataType, rows.schema[tie].dataType]
     kind = ", ".join(f"{n} {t.simpleString()}" for n, t in zip(("query_id", "near_id"), types, strict=True))
@@ -81,6 +82,7 @@ def search(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Nearest(matrix, k)
             for big in batches if numbers else ():
+                big = big.filter(big.column(1).is_valid())
                 for batch in (big.slice(j, 1000) for j in range(0, big.num_rows, 1000)):
                     x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                     if x.shape[1] != matrix.shape[1]:

@@ -76,16 +76,18 @@ def embed_texts(provider: EmbeddingProvider, texts: list[str]) -> np.ndarray:
         raise ValueError("an embedding provider is required")
     if not texts:
         raise ValueError("no texts to embed")
-    rows: list = []
+    rows: list[np.ndarray] = []
+    lengths: set[int] = set()
     for k in range(0, len(texts), provider.batch):
         part = texts[k : k + provider.batch]
         reply = provider.embed(part)
         if reply is None or len(reply) != len(part) or any(r is None or len(r) == 0 for r in reply):
             raise ValueError(f"{provider.name} gave no vector for each text")
-        rows += reply
-    if len({len(r) for r in rows}) != 1:
-        raise ValueError(f"{provider.name} gave vectors of different lengths")
-    return np.array(rows, np.float32)
+        lengths |= {len(r) for r in reply}
+        if len(lengths) != 1:
+            raise ValueError(f"{provider.name} gave vectors of different lengths")
+        rows.append(np.array(reply, np.float32))
+    return np.concatenate(rows)
 
 
 def embed_column(provider: EmbeddingProvider, text: Column) -> Column:

@@ -49,6 +49,21 @@ def test_distances_are_summed_from_the_left(spark):
     assert [(r["distance"], r["id"]) for r in retrieve.nearest(index, q, 200).orderBy("rank").collect()] == want
 
 
+def test_vectors_of_a_plan_are_computed_once(spark):
+    """Each evaluation has Python workers of its own, beside those of the search."""
+    df = spark.createDataFrame([(k, f"text {k}" if k % 3 else None, "h") for k in range(9)], "segment_idx long, segment_text string, section_heading string")
+    index = vectors.index_rows(vectors.with_embeddings(df, vectors.HashingProvider(4)), "CA-X")
+    index = index.withColumn("embedding", F.when(F.col("id") != "CA-X:4", F.col("embedding")))
+    found = retrieve.search(index, spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "query_id long, vector array<double>"), 9)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["id"] for r in found.collect()) == [f"CA-X:{k}" for k in range(9) if k != 4]
+
+
+def test_no_vector_at_all(spark, index):
+    queries = spark.createDataFrame([(0, [0.0, 0.0, 0.0, 0.0])], "query_id long, vector array<double>")
+    assert retrieve.search(index.withColumn("embedding", F.lit(None).cast("array<float>")), queries, 3).count() == 0
+
+
 def test_more_queries_than_a_block(spark, index, monkeypatch):
     queries = spark.createDataFrame([(k, [float(k % 3), 1.0, -float(k % 2), 0.0]) for k in range(8)] + [(8, None)], "query_id long, vector array<double>")
     want = sorted(map(tuple, retrieve.search(index, queries, 4).collect()))
